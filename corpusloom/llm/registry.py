@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .pii import op2_deobfuscated_pii
 from .quality import SQL_OP1, op1_line_frequency
+from .simhash import op3_simhash
 
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
+    "op2_deobfuscated_pii": op2_deobfuscated_pii,
+    "op3_simhash": op3_simhash,
 }
 
 SQL = {
