@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from .packing import op6_hilbert_packing
 from .pii import op2_deobfuscated_pii
 from .quality import SQL_OP1, op1_line_frequency
 from .simhash import op3_simhash
+from .warc import SQL_OP8, op8_warc_round_trip
 
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_deobfuscated_pii": op2_deobfuscated_pii,
     "op3_simhash": op3_simhash,
+    "op6_hilbert_packing": op6_hilbert_packing,
+    "op8_warc_round_trip": op8_warc_round_trip,
 }
 
 SQL = {
     "op1_line_frequency": SQL_OP1,
+    "op8_warc_round_trip": SQL_OP8,
 }
