@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op10_ivfpq
 from .packing import op6_hilbert_packing
 from .pii import op2_deobfuscated_pii
 from .quality import SQL_OP1, op1_line_frequency
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op6_hilbert_packing": op6_hilbert_packing,
     "op8_warc_round_trip": op8_warc_round_trip,
+    "op10_ivfpq": op10_ivfpq,
 }
 
 SQL = {
