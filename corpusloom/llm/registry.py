@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from .ann import op10_ivfpq
+from .langid import op4_viterbi_langid
 from .packing import op6_hilbert_packing
 from .pii import op2_deobfuscated_pii
 from .quality import SQL_OP1, op1_line_frequency
 from .simhash import op3_simhash
+from .toxicity import op7_segment_toxicity
 from .warc import SQL_OP8, op8_warc_round_trip
 
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_deobfuscated_pii": op2_deobfuscated_pii,
     "op3_simhash": op3_simhash,
+    "op4_viterbi_langid": op4_viterbi_langid,
     "op6_hilbert_packing": op6_hilbert_packing,
+    "op7_segment_toxicity": op7_segment_toxicity,
     "op8_warc_round_trip": op8_warc_round_trip,
     "op10_ivfpq": op10_ivfpq,
 }
