@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op10_ivfpq
 from .langid import op4_viterbi_langid
+from .linededup import op9_line_dedup
 from .packing import op6_hilbert_packing
 from .pii import op2_deobfuscated_pii
 from .quality import SQL_OP1, op1_line_frequency
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_hilbert_packing": op6_hilbert_packing,
     "op7_segment_toxicity": op7_segment_toxicity,
     "op8_warc_round_trip": op8_warc_round_trip,
+    "op9_line_dedup": op9_line_dedup,
     "op10_ivfpq": op10_ivfpq,
 }
 
