@@ -156,9 +156,10 @@ class Labeller:
 
     def _ids(self, words: list[str]) -> list[int]:
         at = self.at
-        for w in set(words) - at.keys():
-            at[w] = len(self.rows)
-            self.rows.append((self.model.score(w), sum(map(str.isalpha, w))))
+        for w in set(words):
+            if w not in at:
+                at[w] = len(self.rows)
+                self.rows.append((self.model.score(w), sum(map(str.isalpha, w))))
         return list(map(at.__getitem__, words))
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, str]]:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import held_out, learnt_from, table
 
 TRAIN_TOXIC, TRAIN_CLEAN, WORDS = 3_000, 6_000, 150_000
-#: Tokens of prior for a word, and observations at which a word counts as much as its prefix.
+#: Tokens of prior in proportion to use, beside half a token for each word, and observations at which a word counts as much as its prefix.
 PRIOR, LEAN = 1_000.0, 4.0
 PREFIXES = (4, 5, 7)
 #: A segment is significant if clean text gives at most so many like it in a document.
@@ -49,7 +49,7 @@ def log_odds(toxic: Counter, clean: Counter) -> dict[str, tuple[float, int]]:
     out = {}
     for w in toxic.keys() | clean.keys():
         x, y = toxic[w], clean[w]
-        prior = PRIOR * (x + y) / (a + b)
+        prior = 0.5 + PRIOR * (x + y) / (a + b)
         out[w] = (math.log((x + prior) / (a + PRIOR - x - prior + 1)) - math.log((y + prior) / (b + PRIOR - y - prior + 1)), x + y)
     return out
 
@@ -84,21 +84,20 @@ class Lexicon:
 def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, sum), found in linear time."""
     total = np.cumsum(score)
-    found: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum through
+    begin, end, left, right, smaller = [], [], [], [], []  # smaller: the last before with a smaller left sum
     for i in np.flatnonzero(score > 0).tolist():
-        start, end, left, right = i, i + 1, float(total[i] - score[i]), float(total[i])
+        a, l, r = i, float(total[i] - score[i]), float(total[i])
+        j = len(left) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= left:
-                j -= 1
-            if j < 0 or found[j][3] >= right:
-                # An earlier one with a smaller left sum and a larger right sum stays apart; those
-                # between that cannot join any more are kept too.
-                found.append((start, end, left, right))
+            while j >= 0 and left[j] >= l:
+                j = smaller[j]
+            if j < 0 or right[j] >= r:
+                begin.append(a), end.append(i + 1), left.append(l), right.append(r), smaller.append(j)
                 break
-            start, left = found[j][0], found[j][2]
-            del found[j:]
-    return [(a, b, r - l) for a, b, l, r in found]
+            a, l, k = begin[j], left[j], j
+            j = smaller[j]
+            del begin[k:], end[k:], left[k:], right[k:], smaller[k:]
+    return [(a, b, r - l) for a, b, l, r in zip(begin, end, left, right)]
 
 
 class Scorer:
@@ -110,7 +109,7 @@ class Scorer:
         values = [self.values(t) for t in clean]
         every = np.concatenate([*values, np.zeros(1)])
         # Clean text must drift down, or every text would be one segment.
-        self.drift = float(every.mean() + 0.5 * every.std() + 0.05)
+        self.drift = float(every.mean() + every.std() + 0.5)
         every = every - self.drift
         self.rate = self._rate(every)
         best = np.array([max((s for *_, s in segments(v - self.drift)), default=0.0) for v in values])
@@ -135,8 +134,9 @@ class Scorer:
         words = (text or "").split()
         if len(self.kept) > CACHE:
             self.kept = {}
-        for w in set(words) - self.kept.keys():
-            self.kept[w] = self.lexicon.score(w)
+        for w in set(words):
+            if w not in self.kept:
+                self.kept[w] = self.lexicon.score(w)
         return np.fromiter(map(self.kept.__getitem__, words), np.float64, len(words)) - self.drift
 
     def passages(self, text: str | None) -> tuple[list[tuple[int, int, float]], float, float]:
