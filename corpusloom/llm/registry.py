@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op10_ivfpq
 from .langid import op4_viterbi_langid
 from .linededup import op9_line_dedup
+from .mixing import op5_hierarchical_mix
 from .packing import op6_hilbert_packing
 from .pii import op2_deobfuscated_pii
 from .quality import SQL_OP1, op1_line_frequency
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_deobfuscated_pii": op2_deobfuscated_pii,
     "op3_simhash": op3_simhash,
     "op4_viterbi_langid": op4_viterbi_langid,
+    "op5_hierarchical_mix": op5_hierarchical_mix,
     "op6_hilbert_packing": op6_hilbert_packing,
     "op7_segment_toxicity": op7_segment_toxicity,
     "op8_warc_round_trip": op8_warc_round_trip,
