@@ -115,7 +115,8 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", limits: Lim
 def filter_documents(docs: DataFrame, text: str = "text", host: str = "source", limits: Limits = Limits(), size: str | None = "n_chars") -> DataFrame:
     """The kept rows with the columns of docs, without the lines above the limits; column
     ``size`` (if docs has it) becomes the new number of characters."""
-    judged = judge(docs, text, host, limits).where("kept")
+    # A row number keeps the filter where it is: pushed below, it would repeat the whole judgement.
+    judged = judge(docs, text, host, limits).withColumn("at", F.monotonically_increasing_id()).where("kept and at >= 0")
     out = {c: F.col(f"row.`{c}`") for c in docs.columns} | {text: F.col("clean_text")}
     if size in docs.columns:
         out[size] = F.length("clean_text").cast(docs.schema[size].dataType)
