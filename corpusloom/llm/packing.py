@@ -15,12 +15,15 @@ packed each; ties of the curve go by doc_id; an empty table gives no rows.
 
 from __future__ import annotations
 
-import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +33,14 @@ from .common import materialize, table
 LENGTH = 2048
 END = 1
 FEATURES, DIMS, BITS = 1024, 3, 16
+#: Printed ASCII, and the pieces that the tokenizer cuts it into.
+PRINTED = re.compile(r"[!-~]+")
+PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+")
 #: Words whose ids a worker keeps at once.
-CACHE = 200_000
+CACHE = 150_000
+
+#: Documents encoded together.
+TOGETHER = 1_024
 
 _cache: dict[tuple[str, str], tuple] = {}
 
@@ -42,31 +51,79 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary uses for each byte: itself if printable, else the
+    next free one from 256."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Encoder:
-    """Ids of whole texts. The tokenizer's pieces never span white space, so each distinct
-    word is encoded once and its ids are kept."""
+    """Ids of whole texts. The tokenizer's pieces never span white space, so Arrow splits the
+    texts and each distinct word is encoded once. Words of printed ASCII and of Latin letters go
+    piece by piece to the merge model; the ids of a piece are kept, longer if it recurs. Others
+    take the whole tokenizer."""
 
     def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[bytes, bytes] = {}
+        self.merge, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        got = self.old.get(piece)
+        if got is None:
+            got = self.young.get(piece)
+            if got is not None:
+                self.old[piece] = got
+            else:
+                text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+                got = self.young[piece] = array("H", [t.id for t in self.merge(text)]).tobytes()
+        return got
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word whose ASCII is in lower case."""
+        if word.isascii():
+            if word.isalpha():
+                return self._piece(word)
+            if word[-1] in ".," and word[:-1].isalpha():
+                return self._piece(word[:-1]) + self._piece(word[-1])
+            if PRINTED.fullmatch(word):
+                return b"".join(map(self._piece, PIECES.findall(word)))
+            return self._whole(word)
+        stop = word[-1] if word[-1] in ".," else ""
+        body = word[:-1] if stop else word
+        # Letters that are composed already and have one lower-case form.
+        if body.isalpha() and max(body) <= "\u024f" and "\u0130" not in body:
+            return self._piece(body.lower()) + (self._piece(stop) if stop else b"")
+        return self._whole(word)
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """For each text its ids and the end mark."""
-        end = np.uint16(END).tobytes()
-        split = [(t or "").encode().split() for t in texts]
-        new = {w for ws in split for w in ws} - self.kept.keys()
-        if len(self.kept) + len(new) > CACHE:
-            self.kept.clear()
-            new = {w for ws in split for w in ws}
-        if new:
-            words = list(new)
-            for w, e in zip(words, self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)):
-                self.kept[w] = np.array(e.ids, dtype="<u2").tobytes()
-        get = self.kept.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)) + end, dtype="<u2") for ws in split]
+        if len(self.young) > CACHE:
+            self.young.clear()
+        if len(self.old) > CACHE:
+            self.old.clear()
+        # A text that may spell a special token is left to the tokenizer; otherwise lower case
+        # changes no id.
+        special = {k: t for k, t in enumerate(texts) if t and "<|" in t}
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(["" if t is None or k in special else t for k, t in enumerate(texts)], pa.large_string())))
+        coded = lists.flatten().dictionary_encode()
+        found = [self._word(w) if w else b"" for w in coded.dictionary.to_pylist()]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 2
+        start, ids, at = np.cumsum(size) - size, np.frombuffer(b"".join(found), "<u2"), coded.indices.to_numpy()
+        per_word = size[at]
+        end = np.r_[0, np.cumsum(per_word)]
+        every = ids[np.repeat(start[at] - end[:-1], per_word) + np.arange(end[-1])]
+        cut = end[lists.offsets.to_numpy()]
+        mark = np.array([END], "<u2")
+        return [np.concatenate((np.frombuffer(self._whole(special[k]), "<u2") if k in special else every[a:b], mark)) for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist()))]
 
 
 def encoder(path: str) -> Encoder:
@@ -119,8 +176,8 @@ def tokenised(docs: DataFrame, id_col: str, text: str, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(path)
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                part = batch.iloc[k : k + 256]
+            for k in range(0, len(batch), TOGETHER):
+                part = batch.iloc[k : k + TOGETHER]
                 ids = e.ids(part["text"].tolist())
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "key": curve_keys(ids), "ids": [x.tobytes() for x in ids]})
 
