@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans.oracles import SQL
+from .plans.queries import QUERIES
+
+__all__ = ["QUERIES", "SQL"]
