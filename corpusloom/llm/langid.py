@@ -16,12 +16,13 @@ comes first in the alphabet; an empty table gives no rows.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,13 +61,14 @@ def script(c: str) -> int:
 
 
 def letters(word: str) -> str:
-    return "".join(filter(str.isalpha, word.lower()))
+    """The letters of a word in lower case."""
+    return word if word.isalpha() else "".join(filter(str.isalpha, word))
 
 
 def grams(word: str) -> list[str]:
-    """n-grams of one to four letters of a word with its edges, and the word itself."""
+    """Pairs and triples of letters of a word with its edges, and the word itself."""
     w = f"^{word}$"
-    return [w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)] + list(word) + [w]
+    return [w, *[w[i : i + 2] for i in range(len(w) - 1)], *[w[i : i + 3] for i in range(len(w) - 2)]]
 
 
 class Model:
@@ -78,7 +80,7 @@ class Model:
         count = [Counter() for _ in self.languages]
         words = [Counter() for _ in self.languages]
         for text, label in zip(texts, labels):
-            words[index[label]].update(text.split())
+            words[index[label]].update(text.lower().split())
         scripts = np.zeros((len(self.languages), len(NAMES)))
         for k, own in enumerate(words):
             for raw, n in own.items():
@@ -98,20 +100,33 @@ class Model:
         n = np.array([labels.count(x) for x in self.languages], dtype=np.float64)
         self.prior = n / n.sum() if n.sum() else n
 
-    def score(self, raw: str) -> np.ndarray:
-        """Score of one word for each language; zeros if it has no letter."""
-        out = np.zeros(len(self.languages), np.float32)
-        word = letters(raw)
-        if not word:
-            return out
-        at = [i for g in grams(word) if (i := self.grams.get(g)) is not None]
-        if at:
-            # n-grams of a word overlap: their sum is tempered.
-            out += self.weights[at].sum(axis=0) / 3
-        seen = self.known[:, [script(c) for c in word[:1] + word[-1:]]].all(axis=1)
-        if seen.any():
-            out[~seen] -= 20
-        return out
+    def _seen(self, word: str) -> np.ndarray:
+        """Languages that use the scripts of a word's first and last letter."""
+        return self.known[:, [script(word[0]), script(word[-1])]].all(axis=1)
+
+    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores (words, languages) of words in lower case, zeros without letters; letters."""
+        get, flat, ends, sizes, other = self.grams.get, [], [], [], {}
+        for k, raw in enumerate(words):
+            word = letters(raw)
+            sizes.append(len(word))
+            if word:
+                flat += [i for g in grams(word) if (i := get(g)) is not None]
+                if max(word) > "\u024f":
+                    other[k] = word
+            ends.append(len(flat))
+        total = np.zeros((len(flat) + 1, len(self.languages)))
+        np.cumsum(self.weights[flat], axis=0, out=total[1:])
+        ends = np.array(ends, dtype=np.int64)
+        # n-grams of a word overlap: their sum is tempered.
+        out = ((total[ends] - total[np.r_[0, ends[:-1]]]) / 2).astype(np.float32)
+        sizes = np.array(sizes, dtype=np.int64)
+        plain = sizes > 0
+        plain[list(other)] = False
+        for rows, seen in [(plain, self._seen("a")), *((k, self._seen(w)) for k, w in other.items())]:
+            if seen.any():
+                out[rows] -= np.where(seen, 0, 20).astype(np.float32)
+        return out, sizes
 
 
 def viterbi(score: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
@@ -152,29 +167,36 @@ class Labeller:
     """Labels texts with a model; keeps the scores of words it has met."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.rows, self.at = model, [], {}
+        self.model = model
+        self._forget()
+
+    def _forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.table = np.zeros((0, len(self.model.languages)), np.float32)
+        self.sizes = np.zeros(0, np.int64)
 
-    def _ids(self, words: list[str]) -> list[int]:
-        at = self.at
-        for w in set(words):
-            if w not in at:
-                at[w] = len(self.rows)
-                self.rows.append((self.model.score(w), sum(map(str.isalpha, w))))
-        return list(map(at.__getitem__, words))
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """Rows of the table for distinct words; new ones are scored and added."""
+        if len(self.at) > CACHE:
+            self._forget()
+        new = [w for w in words if w not in self.at]
+        if new:
+            self.at.update(zip(new, range(len(self.table), len(self.table) + len(new))))
+            score, sizes = self.model.score(new)
+            self.table, self.sizes = np.concatenate((self.table, score)), np.concatenate((self.sizes, sizes))
+        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, str]]:
         """(language, score, spans of word numbers) of each text."""
         m = self.model
-        if len(self.at) > CACHE:
-            self.rows, self.at = [], {}
-        split = [(t or "").split() for t in texts]
-        ids = np.array(self._ids([w for ws in split for w in ws]), dtype=np.int64)
-        lengths = np.array([len(ws) for ws in split], dtype=np.int64)
         k = len(m.languages)
-        if not k or not len(ids):
+        lists = pc.ascii_split_whitespace(pc.utf8_trim(pc.utf8_lower(pa.array([t or "" for t in texts], pa.large_string())), " \t\n\x0b\x0c\r"))
+        coded = lists.flatten().dictionary_encode()
+        if not k or not len(coded):
             return [("und", 0.0, "")] * len(texts)
-        score = np.stack([r for r, _ in self.rows])[ids]
-        size = np.array([n for _, n in self.rows], dtype=np.float64)[ids]
+        ids = self._rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        lengths = np.diff(lists.offsets.to_numpy())
+        score, size = self.table[ids], self.sizes[ids].astype(np.float64)
         path = viterbi(score, lengths, PENALTY)
         text = np.repeat(np.arange(len(texts)), lengths)
         share = np.bincount(text * k + path, weights=size, minlength=len(texts) * k).reshape(len(texts), k)
@@ -201,8 +223,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "
         return Model([], [])
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, TRAIN / r["n"])))])
     chosen = rows.where(F.pmod(F.xxhash64(F.lit("lang"), "id"), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * (1 << 30))
-    found = chosen.select("text", "lang").limit(2 * TRAIN * LANGUAGES).toPandas()
-    return Model(found["text"].tolist(), found["lang"].tolist())
+    found = chosen.select("text", "lang").limit(2 * TRAIN * LANGUAGES).toArrow()
+    return Model(found["text"].to_pylist(), found["lang"].to_pylist())
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
