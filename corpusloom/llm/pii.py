@@ -95,8 +95,8 @@ SPELLED_TOKEN = re.compile(rf"{_DIGIT}|{_SIGN}|[0-9]+")
 #: Bracketed disguises, and bare words that count only as a whole address.
 _AT, _DOT = r"at|arroba|a|@|ät|chez", r"dot|punkt|point|punto|d|\."
 BRACKET = re.compile(rf"\s*[(\[{{<]\s*(?:(?P<at>{_AT})|(?P<dot>{_DOT}))\s*[)\]}}>]\s*", re.I)
-BARE = re.compile(r"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]+(?:(?:\.|\s+dot\s+)[A-Za-z0-9_%+-]+)*)(?P<at>\s+(?:at|arroba|@)\s+|@)(?P<domain>[A-Za-z0-9-]+(?:(?:\s+(?:dot|punkt|point|punto)\s+|\s*\.\s*|\.)[A-Za-z0-9-]+)+)", re.I)
-BARE_DOT = re.compile(r"\s+(?:dot|punkt|point|punto)\s+|\s*\.\s*", re.I)
+BARE = re.compile(r"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]+(?:(?:\.|\s+dot\s+)[A-Za-z0-9_%+-]+)*)(?P<at>\s+(?:at|arroba)\s+|\s?@\s?)(?P<domain>[A-Za-z0-9-]+(?:(?:\s+(?:dot|punkt|point|punto)\s+|\.)[A-Za-z0-9-]+)+)", re.I)
+BARE_DOT = re.compile(r"\s+(?:dot|punkt|point|punto)\s+", re.I)
 
 
 class Mapped:
@@ -159,14 +159,11 @@ def _at_dot(m: Mapped) -> None:
     m.replace([(x.start(), x.end(), "@" if x["at"] else ".") for x in BRACKET.finditer(m.text)])
     edits = []
     for x in BARE.finditer(m.text):
-        if x["at"] == "@" and not BARE_DOT.search(x[0]):
+        # A stop may end a sentence: bare words are an address only with a dot spelled in the domain.
+        if not BARE_DOT.search(x["domain"]):
             continue
-        part = [(x.start("local") + d.start(), x.start("local") + d.end(), ".") for d in BARE_DOT.finditer(x["local"])]
-        part.append((x.start("at"), x.end("at"), "@"))
-        part += [(x.start("domain") + d.start(), x.start("domain") + d.end(), ".") for d in BARE_DOT.finditer(x["domain"])]
-        # A sentence's end is no dot of an address: bare words need a spelled sign somewhere.
-        if x["at"].strip().lower() != "@" or re.search("[A-Za-z]", "".join(m.text[a:b] for a, b, _ in part)):
-            edits += part
+        dots = lambda part: [(x.start(part) + d.start(), x.start(part) + d.end(), ".") for d in BARE_DOT.finditer(x[part])]  # noqa: B023, E731
+        edits += [*dots("local"), (x.start("at"), x.end("at"), "@"), *dots("domain")]
     m.replace(edits)
 
 
