@@ -31,6 +31,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts are bounded by their number; the default is too large for them."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again.
 
@@ -38,6 +44,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     knows the size of what it reads.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
