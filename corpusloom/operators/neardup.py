@@ -34,8 +34,7 @@ def weights(rows: DataFrame, keys: list[str], text: str = "text", stop: list[str
     """(keys, term, tf, df, w): raw frequency times ln((n+1)/(df+1))+1 over all rows."""
     tf = rows.select(*keys, F.explode(significant_words(F.col(text), stop)).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = rows.agg(F.count(F.lit(1)).alias("n"))
-    joined = tf.join(df, "term").crossJoin(F.broadcast(n))
+    joined = tf.join(df, "term").withColumn("n", F.lit(rows.count()))
     return joined.select(*keys, "term", "tf", "df", (F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("w"))
 
 
@@ -45,8 +44,7 @@ def _vectors(rows: DataFrame, stop: list[str]) -> DataFrame:
     classes = rows.select(F.sha2("text", 256).alias("class"), "text").groupBy("class").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     tf = classes.select("class", "copies", F.explode(significant_words(F.col("text"), stop)).alias("term")).groupBy("class", "copies", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.sum("copies").alias("df"))
-    n = rows.agg(F.count(F.lit(1)).alias("n"))
-    w = tf.join(df, "term").crossJoin(F.broadcast(n)).select("class", "term", "df", (F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("w"))
+    w = tf.join(df, "term").withColumn("n", F.lit(rows.count())).select("class", "term", "df", (F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("w"))
     v = w.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "term", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return v.select("class", F.transform("v", lambda x: F.struct(x["df"].alias("df"), x["term"].alias("term"), (x["w"] / F.col("norm")).alias("u"))).alias("v"))
 

@@ -24,8 +24,7 @@ def statistics(chunks: DataFrame, text: str, corpus: list[str]) -> DataFrame:
 def idf(chunks: DataFrame, text: str = "text", corpus: list[str] = [], key: str = "chunk_index") -> DataFrame:
     """(corpus, term, df, idf)."""
     df = postings(chunks, text, corpus, key).groupBy(*corpus, "term").agg(F.count(F.lit(1)).alias("df"))
-    total = statistics(chunks, text, corpus).drop("avg_len")
-    joined = df.join(total, corpus) if corpus else df.crossJoin(F.broadcast(total))
+    joined = df.join(statistics(chunks, text, corpus).drop("avg_len"), corpus) if corpus else df.withColumn("n", F.lit(chunks.count()))
     return joined.select(*corpus, "term", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
 
@@ -45,14 +44,21 @@ def search(chunks: DataFrame, queries: DataFrame, text: str = "text", key: str =
     wanted = terms.select("term").distinct()
     tf = split.select(*corpus, key, "dl", F.explode("w").alias("term")).join(wanted, "term", "left_semi").groupBy(*corpus, key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy(*corpus, "term").agg(F.count(F.lit(1)).alias("df"))
-    weight = (df.join(total, corpus) if corpus else df.crossJoin(F.broadcast(total))).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
+    one = None if corpus else total.first()
+    held = df.join(total, corpus) if corpus else df.withColumn("n", F.lit(one["n"] if one else 0)).withColumn("avg_len", F.lit(one["avg_len"] if one else 1.0))
+    weight = held.withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
     hit = tf.join(weight, [*corpus, "term"]).join(terms, "term")
     score = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_len")))
     scored = hit.groupBy(*corpus, "query_id", key).agg(F.sum(score).alias("s"))
     if fill:
         # The first k chunks of every corpus, offered with no score to every query.
         lead = _first(split, corpus, key, k)
-        offered = (lead.join(total, corpus, "left_semi") if corpus else lead.crossJoin(F.broadcast(total.select("n"))).drop("n")).crossJoin(F.broadcast(asked.select("query_id")))
+        if corpus:
+            offered = lead.join(total, corpus, "left_semi").crossJoin(asked.select("query_id"))
+        else:
+            keys = [r[key] for r in lead.collect()] if one else []
+            offered = asked.select("query_id", F.explode(F.lit(keys).cast(f"array<{dict(chunks.dtypes)[key]}>")).alias(key)) if keys else None
+    if fill and offered is not None:
         scored = scored.unionByName(offered.select(*corpus, "query_id", key, F.lit(0.0).alias("s"))).groupBy(*corpus, "query_id", key).agg(F.sum("s").alias("s"))
     top = _top(scored, [*corpus, "query_id"], F.struct((-round_half_up(F.col("s"), 9)).alias("far"), F.col(key)), k)
     top = top.select(*corpus, "query_id", F.posexplode("top").alias("pos", "t")).select(*corpus, "query_id", (F.col("pos") + 1).alias("rank"), F.col(f"t.{key}").alias(key), (-F.col("t.far")).alias("s"))
