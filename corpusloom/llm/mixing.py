@@ -81,11 +81,11 @@ def _weight(level: str, name: Column, tokens: Column, mix: Mix) -> Column:
 def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """leaves: (domain, language, leaf, tokens). Adds the budget of each leaf, in whole tokens."""
     leaves = leaves.withColumn("capacity", F.col("tokens").cast("double") * mix.epochs)
-    total = leaves.agg((F.sum("tokens") * mix.tokens).alias("budget0"))
-    at, keys = total, []
+    total = leaves.agg(F.sum("tokens")).first()[0] or 0
+    at, keys = None, []
     for k, level in enumerate(LEVELS):
         nodes = leaves.groupBy(*keys, level).agg(F.sum("tokens").alias("tokens"), F.sum("capacity").alias("capacity"))
-        nodes = nodes.join(at, keys) if keys else nodes.crossJoin(F.broadcast(at))
+        nodes = nodes.join(at, keys) if keys else nodes.withColumn("budget0", F.lit(float(total * mix.tokens)))
         nodes = nodes.withColumn("name", F.col(level)).withColumn("weight", _weight(level, F.col(level), F.col("tokens"), mix))
         parent = keys or [F.lit(0)]
         at = _fill(nodes, parent, f"budget{k}", f"budget{k + 1}").select(*keys, level, f"budget{k + 1}")

@@ -384,7 +384,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
 
     rows = corpus_pipeline.run(spark, SF).collect()
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    kept = {r["row"]["doc_id"]: r["clean_text"] for r in quality.judge(spark.read.parquet(f"{SF}/documents.parquet")).where("kept").collect()}
+    kept = {r["row"]["doc_id"]: r["clean_text"] for r in quality.judge(spark.read.parquet(f"{SF}/documents.parquet")).collect() if r["kept"]}
     gone = brute_lines(kept)
     kept = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone.get(i, ())) for i, t in kept.items()}
     prints = {i: simhash.fingerprint(t) & (1 << 64) - 1 for i, t in kept.items()}
