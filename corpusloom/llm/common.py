@@ -32,9 +32,9 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of whole texts are bounded by their number; the default is too large for them."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+    """Bound Arrow batches of whole texts by their bytes; rows of a few numbers stay many to a batch."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864", "67108864b", "64MB"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
