@@ -89,7 +89,8 @@ _DIGIT = "|".join(sorted(SPELLED, key=len, reverse=True))
 _SIGN = "|".join(sorted(SIGNS, key=len, reverse=True))
 #: Four spelled digits or more in a run that may hold figures, signs and one separator each.
 SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:plus|más)[\s-]{{1,3}})?(?:{_DIGIT}|[0-9]+)(?:[\s,-]{{1,3}}(?:{_DIGIT}|{_SIGN}|[0-9]+)(?!\w))+")
-SPELLED_HINT = re.compile(rf"\b(?:{_DIGIT})[\s,-]{{1,3}}(?:(?:{_SIGN})[\s,-]{{1,3}})?(?:{_DIGIT})\b")
+#: Every run with a spelled digit has one of these beside a figure, a sign or another one.
+SPELLED_HINT = re.compile(rf"(?:{_DIGIT})[\s,-]{{1,3}}(?:{_DIGIT}|{_SIGN}|[0-9])|(?:{_SIGN}|[0-9])[\s,-]{{1,3}}(?:{_DIGIT})")
 SPELLED_TOKEN = re.compile(rf"{_DIGIT}|{_SIGN}|[0-9]+")
 
 #: Bracketed disguises, and bare words that count only as a whole address.
@@ -136,9 +137,15 @@ def _homoglyphs(m: Mapped) -> None:
     m.replace(edits)
 
 
+def _lower(text: str) -> str:
+    """In lower case, character by character; one that would become several stays."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def _spelled_digits(m: Mapped) -> None:
-    low = m.text.lower()
-    if len(low) != len(m.text) or not SPELLED_HINT.search(low):
+    low = _lower(m.text)
+    if not SPELLED_HINT.search(low):
         return
     edits = []
     for run in SPELLED_RUN.finditer(low):
@@ -180,7 +187,7 @@ def _disguised(text: str) -> bool:
             return True
         if "\xa0" in text or "\xad" in text or "\xb7" in text:
             return True
-    return bool(SPELLED_HINT.search(text.lower()) or HINT_BRACKET.search(text) or HINT_DOT.search(text))
+    return bool(SPELLED_HINT.search(_lower(text)) or HINT_BRACKET.search(text) or HINT_DOT.search(text))
 
 
 def added_spans(text: str, plain: list[Span]) -> list[Span]:

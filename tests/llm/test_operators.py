@@ -116,6 +116,28 @@ def test_op2_disguises(text, kind, found):
     assert (pii.KINDS[k], text[start:end]) == (kind, found)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("call plus 4 nine 3 zero 1 two 3 four 5 six 7", "phone", "plus 4 nine 3 zero 1 two 3 four 5 six 7"),
+        ("İzmir: call plus one five five five one two three four five six seven", "phone", "plus one five five five one two three four five six seven"),
+        ("İ İ n four one one one one one one one one one one one one one one one", "card", "four one one one one one one one one one one one one one one one"),
+    ],
+)
+def test_op2_spelled_digits_among_figures_and_in_any_text(text, kind, found):
+    ((start, k, end),) = pii.find_spans(text)[1]
+    assert (pii.KINDS[k], text[start:end]) == (kind, found)
+
+
+def test_op2_hint_holds_for_every_run():
+    rng = random.Random(6)
+    parts = [*pii.SPELLED, *pii.SIGNS, *"0123456789" * 6]
+    for _ in range(3000):
+        text = "".join(x for _ in range(rng.randrange(8, 16)) for x in (rng.choice(parts), rng.choice([" ", ", ", "-"])))
+        if any(sum(t[0] in pii.SPELLED for t in pii.SPELLED_TOKEN.finditer(m[0])) >= 4 for m in pii.SPELLED_RUN.finditer(text)):
+            assert pii.SPELLED_HINT.search(text), text
+
+
 def test_op2_leaves_prose_alone():
     for t in ("We met at home. Dot com firms came.", "One two three, said the cat.", "At 5 point 3 we stop.", "a" * 100_000, "1" * 100_000, "one " * 20_000):
         assert pii.find_spans(t)[1] == []
