@@ -145,8 +145,9 @@ class Scorer:
         v = self.values(text)
         base = math.log(self.k * max(1, len(v)) + 1e-12)
         every = [(a, b, base - self.rate * s) for a, b, s in segments(v)]
-        found = [(a, b, math.exp(e)) for a, b, e in every if e <= math.log(SIGNIFICANT)]
-        return found, min([base, *(e for *_, e in every)]), sum(-math.log(e) for *_, e in found if e > 0)
+        significant = [x for x in every if x[2] <= math.log(SIGNIFICANT)]
+        # Of the logarithms: E itself is 0 for a passage long and dense enough.
+        return [(a, b, math.exp(e)) for a, b, e in significant], min([base, *(e for *_, e in every)]), sum(-e for *_, e in significant)
 
 
 class Model:

@@ -314,6 +314,14 @@ def test_op7_learns_words():
     assert m.judge(None)[0] < 0.3
 
 
+def test_op7_passages_whose_e_underflows_count():
+    clean = [" ".join(f"w{random.Random(i * 200 + k).randrange(3000)}" for k in range(120)) for i in range(100)]
+    s = toxicity.Scorer(["vileword nastyone"] * 40, clean)
+    sums = [s.passages("vileword nastyone " * n)[2] for n in (10, 100, 1000, 10_000)]
+    assert s.passages("vileword nastyone " * 10_000)[0][0][2] == 0.0
+    assert sums == sorted(sums) and sums[-1] > 745
+
+
 def test_op8_equals_brute_force(spark):
     import hashlib
 
