@@ -374,6 +374,16 @@ def test_op9_equals_brute_force(spark, texts, documents):
     assert dict(got) == brute_lines(some)
 
 
+def test_op9_repeated_rows_keep_their_text(spark):
+    """A line of a row that repeats a doc_id does not match itself, in one group or in two."""
+    one, two = "alpha beta gamma delta", "first line of words here\nanother one that differs"
+    rows = [(1, one), (1, one), (2, two), (2, two), (3, one)]
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = collections.Counter((r["doc_id"], r["text"]) for r in linededup.dedup(docs).collect())
+        assert got == {(1, one): 2, (2, two): 2, (3, ""): 1}
+
+
 def test_op9_groups_beyond_the_first_candidates(spark, monkeypatch):
     monkeypatch.setattr(linededup, "FIRST", 1)
     rng = random.Random(4)
