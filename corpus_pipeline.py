@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm import linededup, mixing, packing, quality, simhash
+from corpusloom.llm import linededup, mixing, packing, quality, shingles
 from corpusloom.llm.common import materialize, table
 
 #: Tokens wanted are those there are; a branch may be taken once, so a document at most once.
@@ -31,8 +31,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: that of the smallest doc_id, and of rows that
     repeat this id the one with the least text. Rows without a doc_id stay."""
-    found = simhash.near_duplicates(docs).where("doc_id is not null")
-    later = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "near-duplicates")
+    found = shingles.components(docs)
+    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    later = materialize(found.join(least, "root").where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "near-duplicates")
     kept = docs.join(later, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
     again = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     return kept.withColumn("__again", again).where("__again = 1 or doc_id is null").drop("__again")

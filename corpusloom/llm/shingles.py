@@ -1,0 +1,138 @@
+"""Near-duplicate documents by an exact join of their word shingles.
+
+A text is the set of its shingles of ``SHINGLE`` words. Two texts with Jaccard similarity of at
+least ``SIMILARITY`` share a shingle of their prefixes in any fixed order of shingles; here it goes
+by rarity, so common passages come last. Every pair that shares one and passes the length and the
+positional filter is verified on the sets, unless it is known to lie in one component: first each
+text against the least of those that share a shingle, then all pairs of different components.
+No link between components is lost.
+
+Defined cases: texts without words are equal; a text of fewer words than a shingle is one shingle;
+rows without a doc_id are left out; rows repeating a doc_id each stand for their text.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+from .components import connected_components
+from .linededup import BUCKETS, _by_token, _ceil, _cell
+
+SEED = 43
+SHINGLE = 5
+SIMILARITY = 0.8
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Distinct shingle hashes, in order; one shingle for a text of fewer words."""
+    words = (text or "").encode().lower().split()
+    n = max(1, len(words) - SHINGLE + 1)
+    joined = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)))) if len(words) >= SHINGLE else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(SEED)), np.uint64, n))
+
+
+def node(found: np.ndarray) -> int:
+    """One number for a set of shingles."""
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).astype(np.int64))
+
+
+def _rarity(texts: DataFrame) -> np.ndarray:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(1 << BUCKETS, np.int64)
+        for batch in batches:
+            for text in batch["text"]:
+                np.add.at(total, _cell(shingles(text)), 1)
+        at = np.flatnonzero(total)
+        for k in range(0, len(at), 100_000):
+            yield pd.DataFrame({"cell": at[k : k + 100_000].astype(np.int32), "n": total[at[k : k + 100_000]]})
+
+    found = texts.mapInPandas(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << BUCKETS, np.int32)
+    out[found["cell"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**31 - 1)
+    return out
+
+
+def _prefixes(texts: DataFrame, similarity: float) -> DataFrame:
+    """(token, ord, size, position, bits) for each shingle of a text's prefix; ord is its node."""
+    counts = texts.sparkSession.sparkContext.broadcast(_rarity(texts.select("text")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            tokens, ords, sizes, places = [], [], [], []
+            for ord_, text in zip(batch["ord"], batch["text"]):
+                found = shingles(text)
+                size = len(found)
+                n = size - int(_ceil(np.array([similarity * size]))[0]) + 1
+                tokens.append(found[np.lexsort((found, counts.value[_cell(found)]))[:n]].view(np.int64))
+                ords.append(np.full(n, ord_)), sizes.append(np.full(n, size, np.int32)), places.append(np.arange(n, dtype=np.int32))
+            if tokens:
+                # Bits of another kind of set tell nothing here.
+                yield pd.DataFrame({"token": np.concatenate(tokens), "ord": np.concatenate(ords), "size": np.concatenate(sizes), "position": np.concatenate(places), "bits": np.int64(0)})
+
+    return texts.mapInPandas(run, "token long, ord long, size int, position int, bits long")
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (later, earlier) whose similarity is high enough."""
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"ord": batch["ord"], "words": [shingles(t).tobytes() for t in batch["text"]]})
+
+    wanted = materialize(pairs.select(F.explode(F.array("later", "earlier")).alias("ord")).distinct(), "wanted-texts")
+    words = materialize(texts.join(wanted, "ord", "left_semi").mapInPandas(sets, "ord long, words binary"), "text-shingles")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ok = []
+            for a, b in zip(batch["a"], batch["b"]):
+                both = len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
+                ok.append(both >= _ceil(np.array([similarity / (1 + similarity) * (len(a) + len(b)) / 8]))[0])
+            yield batch.loc[ok, ["later", "earlier"]]
+
+    met = pairs.join(words.select(F.col("ord").alias("later"), F.col("words").alias("a")), "later").join(words.select(F.col("ord").alias("earlier"), F.col("words").alias("b")), "earlier")
+    return materialize(met.select("later", "earlier", "a", "b").mapInPandas(verify, "later long, earlier long"), "text-links")
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    return materialize(connected_components(links, "later", "earlier").select(F.col("node").alias("ord"), "root"), "components")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, text_key, ord, root) for each row with a doc_id; root is equal for a component."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text")).where("doc_id is not null")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": batch["text_key"], "ord": np.fromiter((node(shingles(t)) for t in batch["text"]), np.int64, len(batch))})
+
+    named = materialize(rows.mapInPandas(run, "doc_id long, text_key long, ord long"), "text-nodes")
+    # One text for each set.
+    first = materialize(named.groupBy("ord").agg(F.min(F.struct("doc_id", "text_key")).alias("f")).select("ord", F.col("f.doc_id").alias("doc_id"), F.col("f.text_key").alias("text_key")), "first-texts")
+    texts = rows.join(first, ["doc_id", "text_key"]).groupBy("ord").agg(F.first("text").alias("text"))
+    texts = materialize(texts, "distinct-texts")
+    found = materialize(_prefixes(texts, similarity), "text-prefixes")
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    # Each text against the least that shares a shingle.
+    heads = materialize(found.groupBy("token").agg(F.min(F.struct("ord", "size", "position")).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "h"), "shared-shingles")
+    met = materialize(found.join(heads, "token"), "shared-prefixes")
+    short = lambda a, b: F.least(a, b) >= F.ceil(F.round(similarity * F.greatest(a, b), 6))
+    tried = met.where((F.col("ord") != F.col("h.ord")) & short(F.col("size"), F.col("h.size"))).select(F.col("ord").alias("later"), F.col("h.ord").alias("earlier")).distinct()
+    links = _verified(texts, materialize(tried, "text-pairs"), similarity)
+    # All pairs that share a shingle and are not in one component by now.
+    split = met.drop("h").join(_roots(links), "ord", "left").withColumn("root", F.coalesce("root", "ord"))
+    split = materialize(split, "rooted-prefixes")
+    mixed = materialize(split.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("token"), "mixed-shingles")
+    rest = split.join(mixed, "token", "left_semi").repartition(n, "token").sortWithinPartitions("token", "ord")
+    pairs = rest.mapInPandas(_by_token(similarity, None), "later long, earlier long, more boolean").select("later", "earlier").distinct()
+    pairs = materialize(pairs.join(tried, ["later", "earlier"], "left_anti"), "text-pairs")
+    links = links.unionByName(_verified(texts, pairs, similarity))
+    return named.join(_roots(links), "ord", "left").withColumn("root", F.coalesce("root", "ord"))

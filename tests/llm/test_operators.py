@@ -442,3 +442,41 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     # Mixing leaves out what a leaf's budget does not hold; the rest is packed whole.
     assert got.items() <= want.items() and len(got) >= 0.9 * len(want)
     assert sum(r["length"] for r in rows) == sum(got.values()) and set(got) <= set(docs)
+
+
+def brute_shingles(text):
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+
+def near_rows(spark):
+    """Groups of edited copies at all similarities about 0.8, in chains, and ids that repeat."""
+    rng = random.Random(8)
+    rows = []
+    for g in range(12):
+        now = [f"g{g}w{rng.randrange(400)}" for _ in range(rng.choice([8, 60, 150]))]
+        for _ in range(10):
+            rows.append((len(rows), " ".join(now)))
+            for _ in range(rng.randrange(4)):
+                now[rng.randrange(len(now))] = f"new{rng.randrange(1000)}"
+    shared = " ".join(f"common{k}" for k in range(40))
+    rows += [(1000 + i, shared + " " + " ".join(f"own{i}x{k}" for k in range(8 + i % 5))) for i in range(40)]
+    return rows + [(2000, ""), (2001, " \n"), (2002, "few words"), (2003, "Few  Words")]
+
+
+def test_pipeline_near_dedup_equals_brute_force(spark):
+    import corpus_pipeline
+
+    rows = near_rows(spark)
+    sets, parent = {i: brute_shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+    find = lambda i: i if parent[i] == i else find(parent[i])
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    for a, b in near:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert got == {i for i in sets if find(i) == i}
+    # Beyond three bits of a fingerprint, so the links that were lost.
+    prints = {i: simhash.fingerprint(t) & (1 << 64) - 1 for i, t in rows}
+    assert any((prints[a] ^ prints[b]).bit_count() > 3 for a, b in near)
