@@ -29,14 +29,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: that of the smallest doc_id, and of rows that
-    repeat this id the one with the least text. Rows without a doc_id stay."""
+    """One row of each component stays: that of the smallest doc_id, and of rows that repeat this
+    id the one with the least key of its text. Rows without a doc_id stay."""
     found = shingles.components(docs)
-    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    later = materialize(found.join(least, "root").where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "near-duplicates")
-    kept = docs.join(later, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
-    again = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn("__again", again).where("__again = 1 or doc_id is null").drop("__again")
+    least = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("kept")).select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.text_key").alias("kept_key"))
+    least = materialize(least, "kept-rows")
+    key = F.xxhash64("text")
+    rows = docs.join(least, (F.col("doc_id").cast("long") == F.col("kept_id")) & (key == F.col("kept_key")), "left_semi")
+    # Rows that are equal in both.
+    again = F.row_number().over(Window.partitionBy("doc_id", key).orderBy("doc_id"))
+    rows = rows.withColumn("__again", again).where("__again = 1").drop("__again")
+    return rows.unionByName(docs.where(F.col("doc_id").cast("long").isNull()))
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

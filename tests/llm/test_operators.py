@@ -480,3 +480,13 @@ def test_pipeline_near_dedup_equals_brute_force(spark):
     # Beyond three bits of a fingerprint, so the links that were lost.
     prints = {i: simhash.fingerprint(t) & (1 << 64) - 1 for i, t in rows}
     assert any((prints[a] ^ prints[b]).bit_count() > 3 for a, b in near)
+
+
+def test_pipeline_near_dedup_deletes_rows_not_ids(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(50)) for x in "abc")
+    rows = [(1, b), (5, a), (5, b + " more"), (6, a), (7, c), (7, a + " z"), (7, c), (None, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == [(0, a), (0, a), (1, b), (5, a), (7, c)]
