@@ -14,8 +14,9 @@ from pyspark.sql.window import Window
 from corpusloom.llm import linededup, mixing, packing, quality, shingles
 from corpusloom.llm.common import materialize, table
 
-#: Tokens wanted are those there are; a branch may be taken once, so a document at most once.
-MIX = mixing.Mix(tokens=1.0, epochs=1)
+#: Nine tenths of the tokens there are, dealt by the square root of what a branch holds: branches
+#: above their share are cut to it. A branch may be taken once, so a document at most once.
+MIX = mixing.Mix(tokens=0.9, power=0.5, epochs=1)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

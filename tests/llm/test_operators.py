@@ -490,3 +490,43 @@ def test_pipeline_near_dedup_deletes_rows_not_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
     assert got == [(0, a), (0, a), (1, b), (5, a), (7, c)]
+
+
+def brute_fill(nodes, budget, power):
+    """Budgets of nodes {name: tokens}: shares by weight, none above what it holds."""
+    out, left = {}, dict(nodes)
+    while left:
+        whole = sum(n**power for n in left.values())
+        full = [k for k, n in left.items() if n <= budget * n**power / whole]
+        if not full:
+            return out | {k: budget * n**power / whole for k, n in left.items()}
+        for k in full:
+            out[k] = left.pop(k)
+            budget -= out[k]
+    return out
+
+
+def test_pipeline_mixing_reaches_target_shares(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    sources = ["hot"] * 300 + [f"s{k % 9}" for k in range(600)]
+    rows = [(i, " ".join(["w"] * rng.randrange(20, 60)), ["en", "de"][i % 2], s) for i, s in enumerate(sources)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = collections.Counter()
+    for r in corpus_pipeline.mixing_to_weights(spark, docs, "").collect():
+        got[r["source"], r["lang"]] += len(r["text"].split())
+    held, tree = collections.Counter(), collections.defaultdict(lambda: collections.defaultdict(dict))
+    for _, t, lang, s in rows:
+        held[s, lang] += len(t.split())
+    for (s, lang), n in held.items():
+        tree[f"domain{zlib.crc32(s.encode()) % 4}"][lang][s] = n
+    mix, want = corpus_pipeline.MIX, {}
+    sums = lambda x: sum(map(sums, x.values())) if isinstance(x, dict) else x
+    for d, b in brute_fill({d: sums(x) for d, x in tree.items()}, sum(held.values()) * mix.tokens, mix.power).items():
+        for lang, c in brute_fill({k: sums(x) for k, x in tree[d].items()}, b, mix.power).items():
+            want |= {(s, lang): n for s, n in brute_fill(tree[d][lang], c, mix.power).items()}
+    # A leaf stops at the first document that does not fit.
+    assert all(want[k] - 61 < got[k] <= want[k] + 1e-6 for k in want)
+    share = lambda x, s: sum(n for k, n in x.items() if k[0] == s) / sum(x.values())
+    assert abs(share(got, "hot") - share(want, "hot")) < 0.01 < share(held, "hot") - share(got, "hot") - 0.04
