@@ -253,6 +253,7 @@ def replaced(md: str, old: str, new: str) -> str:
 
 
 _QUIET = lambda x, n: f"regexp_replace(substr({x}, 1, {n}), '[\\\\\"\\x00-\\x1f]', ' ', 'g')"
+_QUIET_WHOLE = "regexp_replace(text, '[\\\\\"\\x00-\\x1f]', ' ', 'g')"
 VERDICTS = """j2 AS (SELECT *, CASE WHEN o % 7 = 0 THEN 'maybe' WHEN similarity >= 0.9 THEN 'duplicate' WHEN similarity >= 0.5 THEN 'overlap' ELSE 'distinct' END AS verdict,
   CASE o % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'neither' END AS dominant, CASE o % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 ELSE similarity END AS said FROM judged)"""
 HTML = "coalesce(html, '')"
@@ -338,6 +339,11 @@ SELECT pair_id, o AS original_order, accepted FROM judged JOIN ok USING (o)""",
     "sse_decode": f"""WITH c AS (SELECT conv_id, turn, nullif({_QUIET('text', 40)}, '') AS w FROM conversations)
 SELECT conv_id AS stream_id, CAST(count(w) + count(*) FILTER (turn = 0) AS BIGINT) AS deltas, md5(coalesce(string_agg(w, '' ORDER BY turn), '')) AS md5 FROM c GROUP BY conv_id""",
     "running_text": "SELECT conv_id AS stream_id, turn AS seq, md5(array_to_string(list(substr(text, 1, 50)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), '')) AS md5 FROM conversations",
+    "rewrite_parse_whole": f"""WITH b AS (SELECT item_id, trim({_QUIET_WHOLE}) AS t FROM benchmark) SELECT item_id, CASE WHEN item_id % 2 = 0 THEN t ELSE 'A' END AS section_a, CASE WHEN item_id % 2 = 0 THEN 'B' ELSE t END AS section_b FROM b""",
+    "questions_parse_whole": f"""WITH b AS (SELECT item_id, {_QUIET_WHOLE} AS t FROM benchmark) SELECT item_id, concat_ws(' | ', nullif(t, ''), 'Why ' || item_id || '?') AS questions FROM b""",
+    "sse_decode_whole": f"""WITH c AS (SELECT conv_id, turn, nullif({_QUIET_WHOLE}, '') AS w FROM conversations)
+SELECT conv_id AS stream_id, CAST(count(w) + count(*) FILTER (turn = 0) AS BIGINT) AS deltas, md5(coalesce(string_agg(w, '' ORDER BY turn), '')) AS md5 FROM c GROUP BY conv_id""",
+    "running_text_whole": "SELECT conv_id AS stream_id, turn AS seq, md5(array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), '')) AS md5 FROM conversations",
     "idle_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), b AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY ALL)
 SELECT user_id, count(*) AS bursts, CAST(sum(n) AS BIGINT) AS edits, max(n) AS longest FROM b GROUP BY user_id""",

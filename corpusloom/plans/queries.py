@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -317,9 +319,14 @@ def fix_all_layering(spark, sf_dir):
     return _long(edits.admissible(_judged(spark, sf_dir)).select("pair_id", "original_order", "accepted"))
 
 
-def _replies(spark, sf_dir):
+def _first(c: str, most: int | None):
+    """The first characters of a column; None for the whole."""
+    return F.col(c) if most is None else F.substring(c, 1, most)
+
+
+def _replies(spark, sf_dir, most=60):
     """Every benchmark text as a model's reply, fenced and framed in several ways."""
-    b = _t(spark, sf_dir, "benchmark").withColumn("q", F.regexp_replace(F.substring("text", 1, 60), r'[\\"\x00-\x1f]', " "))
+    b = _t(spark, sf_dir, "benchmark").withColumn("q", F.regexp_replace(_first("text", most), r'[\\"\x00-\x1f]', " "))
     i, q = F.col("item_id"), F.col("q")
     body = F.when(i % 2 == 0, F.concat(F.lit('{"section_a": " '), q, F.lit('", "section_b": "B"}'))).otherwise(F.concat(F.lit('{"section_a": "A", "section_b": "'), q, F.lit('"}')))
     reply = F.when(i % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(i % 3 == 1, F.concat(F.lit("Here it is: "), body, F.lit(" - done."))).otherwise(body)
@@ -327,13 +334,13 @@ def _replies(spark, sf_dir):
     return b.select("item_id", "text", reply.alias("reply"), F.when(i % 2 == 0, F.concat(F.lit("```\n"), asked, F.lit("\n```"))).otherwise(F.concat(F.lit("Questions: "), asked)).alias("asked"))
 
 
-def rewrite_parse(spark, sf_dir):
+def rewrite_parse(spark, sf_dir, most=60):
     r = backends.read_rewrite(F.col("reply"))
-    return _replies(spark, sf_dir).select("item_id", r["section_a"].alias("section_a"), r["section_b"].alias("section_b"))
+    return _replies(spark, sf_dir, most).select("item_id", r["section_a"].alias("section_a"), r["section_b"].alias("section_b"))
 
 
-def questions_parse(spark, sf_dir):
-    return _replies(spark, sf_dir).select("item_id", F.array_join(backends.read_questions(F.col("asked")), " | ").alias("questions"))
+def questions_parse(spark, sf_dir, most=60):
+    return _replies(spark, sf_dir, most).select("item_id", F.array_join(backends.read_questions(F.col("asked")), " | ").alias("questions"))
 
 
 def fence_strip(spark, sf_dir):
@@ -358,21 +365,21 @@ def standardize_stub(spark, sf_dir):
     return done.select("doc_id", F.md5(backends.standardized(F.col("reply"))).alias("md5"))
 
 
-def _sse(spark, sf_dir):
+def _sse(spark, sf_dir, most):
     """Conversations as event streams, each turn a chunk that ends within the next one's line."""
     c = _t(spark, sf_dir, "conversations")
-    word = F.regexp_replace(F.substring("text", 1, 40), r'[\\"\x00-\x1f]', " ")
+    word = F.regexp_replace(_first("text", most), r'[\\"\x00-\x1f]', " ")
     event = lambda x: F.concat(F.lit('data: {"choices":[{"delta":{"content":"'), x, F.lit('"}}]}\n'))
     chunk = F.concat(F.when(F.col("turn") == 0, event(F.lit("```md\\n"))).otherwise(F.lit("data: oops\n\n")), event(word), F.lit(": note\n"))
     return c.select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), chunk.alias("chunk"))
 
 
-def sse_decode(spark, sf_dir):
-    return _long(sse.decode(_sse(spark, sf_dir)).select("stream_id", "deltas", F.md5("text").alias("md5")))
+def sse_decode(spark, sf_dir, most=40):
+    return _long(sse.decode(_sse(spark, sf_dir, most)).select("stream_id", "deltas", F.md5("text").alias("md5")))
 
 
-def running_text(spark, sf_dir):
-    d = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.substring("text", 1, 50).alias("delta"))
+def running_text(spark, sf_dir, most=50):
+    d = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), _first("text", most).alias("delta"))
     return _long(sse.running_text(d).select("stream_id", "seq", F.md5("text").alias("md5")))
 
 
@@ -456,6 +463,8 @@ QUERIES = {
         verdict_normalize, verdict_enrich, fix_all_layering, rewrite_parse, questions_parse, fence_strip, section_clamp, standardize_render, standardize_stub, sse_decode, running_text, idle_sessions,
         html_to_md, conv_to_md, parse_pipeline, file_gate, scan_counts, first_headings, term_presence, significant_words, review_flags, pair_rewrite,
     )
+} | {
+    f"{f.__name__}_whole": partial(f, most=None) for f in (rewrite_parse, questions_parse, sse_decode, running_text)
 } | {
     "issues_all": _issue_query(),
     "issues_frontmatter": _issue_query("frontmatter", "structure"),
