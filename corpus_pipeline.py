@@ -8,10 +8,8 @@ return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from corpusloom.llm import linededup, mixing, packing, quality, shingles
+from corpusloom.llm import linededup, mixing, packing, quality, simhash
 from corpusloom.llm.common import materialize, table
 
 #: Nine tenths of the tokens there are, dealt by the square root of what a branch holds: branches
@@ -30,17 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component stays: that of the smallest doc_id, and of rows that repeat this
-    id the one with the least key of its text. Rows without a doc_id stay."""
-    found = shingles.components(docs)
-    least = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("kept")).select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.text_key").alias("kept_key"))
-    least = materialize(least, "kept-rows")
-    key = F.xxhash64("text")
-    rows = docs.join(least, (F.col("doc_id").cast("long") == F.col("kept_id")) & (key == F.col("kept_key")), "left_semi")
-    # Rows that are equal in both.
-    again = F.row_number().over(Window.partitionBy("doc_id", key).orderBy("doc_id"))
-    rows = rows.withColumn("__again", again).where("__again = 1").drop("__again")
-    return rows.unionByName(docs.where(F.col("doc_id").cast("long").isNull()))
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8."""
+    return simhash.without_near_copies(docs)
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

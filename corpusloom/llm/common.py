@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of our own only where the cluster names none (tests)."""
+    """The folder all executors share. Where the session names none, a local master (tests) gets a
+    folder of our own; on a cluster, whose executors would not see it, this is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -56,6 +60,30 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Scratch:
+    """Tables written on the way to a result, to be dropped once it is written itself."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.made = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Like ``materialize``."""
+        bounded_batches(self.spark)
+        self.made.append(new_path(self.spark, name))
+        df.write.option("compression", "zstd").parquet(self.made[-1])
+        return self.spark.read.schema(df.schema).parquet(self.made[-1])
+
+    def drop(self) -> None:
+        for path in self.made:
+            delete(self.spark, path)
+        self.made.clear()
+
+
+def counted(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A written table of few narrow columns, broadcast if it has been counted to be small."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, in order; null gives an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"{WHITE}+"), lambda w: w != "")

@@ -3,16 +3,23 @@
 Alternating large-star and small-star rounds (Kiveris et al., 2014): the number of rounds grows
 with the logarithm of the longest path. Each half round is an aggregate with map-side combine and
 a join of two written tables, so a hub's edges can be split by the adaptive planner. Every round
-is written to the shared folder and the round before it is deleted.
+is written to the shared folder and the round before it is deleted. A graph that has been counted
+to have at most ``SMALL`` edges is settled by one task instead, with the same result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import delete, new_path
 
+SMALL = 200_000
+
 
 def _write(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
@@ -37,6 +44,26 @@ def _half(edges: DataFrame, large: bool, made: list[str]) -> DataFrame:
     return _write(out.distinct(), made[-1])
 
 
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all edges (hi, lo) of the graph."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not held:
+        return
+    hi, lo = (np.concatenate(x) for x in zip(*held))
+    nodes, at = np.unique(np.r_[hi, lo], return_inverse=True)
+    a, b, root = at[: len(hi)], at[len(hi) :], np.arange(len(nodes))
+    while True:
+        was = root.copy()
+        least = np.minimum(root[a], root[b])
+        for end in (root[a], root[b], a, b):
+            np.minimum.at(root, end, least)
+        while not np.array_equal(up := root[root], root):
+            root = up
+        if np.array_equal(was, root):
+            break
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "root"])
+
+
 def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge between two different nodes; root is the smallest
     node reachable. Nodes are longs; nulls and loops are dropped; repeated edges do no harm."""
@@ -44,6 +71,8 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) ->
     made = [new_path(spark, "cc-edges")]
     now = _write(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), made[0])
     was = _digest(now)
+    if was[0] <= SMALL:
+        return now.select("hi", "lo").coalesce(1).mapInArrow(_settled, "node long, root long")
     for _ in range(rounds):
         if not was[0]:
             break

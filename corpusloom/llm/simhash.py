@@ -16,6 +16,7 @@ whose doc_ids are all null is null; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations, repeat
 
 import numpy as np
@@ -24,8 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from . import setjoin
+from .common import Scratch, counted, materialize, table
 from .components import connected_components
+from .tokens import shingles
 
 SEED = 42
 #: Bits of each of the six blocks, lowest first.
@@ -147,5 +150,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return fp.join(materialize(every, "fingerprint-components"), "fp").select("doc_id", "fp", "component_id")
 
 
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 3) -> DataFrame:
+    """(doc_id, text_key, root_doc, root_key) for every document that is not the first, by (doc_id,
+    text_key), of its group: texts linked over Jaccard similarities of ``similarity`` or more of
+    their sets of word shingles. The pigeonhole blocks of the sets' fingerprints give the first
+    candidates, which are verified on the sets. Fingerprints of texts that are just similar enough
+    differ in more bits than any choice of blocks can select by, so the prefixes of the sets then
+    find exactly those links that still join two groups.
+
+    Rows without a doc_id are absent; rows with equal doc_id and text are one document; texts
+    without words are equal; a text of fewer words than a shingle is one shingle."""
+    found = setjoin.find(docs, partial(shingles, size=shingle), similarity, id_col, text, prints=True)
+    scratch, keep = found.scratch, Scratch(docs.sparkSession)
+    first = scratch.write(found.heads.groupBy("print").agg(F.min("nid").alias("first")), "distinct-fingerprints")
+    close = scratch.write(links(first.select(F.col("print").alias("fp")), distance), "close-fingerprints")
+    named = close.join(first.select(F.col("print").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("print").alias("b"), F.col("first").alias("y")), "b")
+    same = found.heads.select("print", "nid").join(first, "print").where(F.col("nid") > F.col("first"))
+    seeds = named.select(F.greatest("x", "y").alias("later"), F.least("x", "y").alias("earlier")).unionByName(same.select(F.col("nid").alias("later"), F.col("first").alias("earlier")))
+    every = setjoin.joined(found, earlier=False, connect=True, seeds=seeds)
+    place = found.heads.select("nid", "node", "copies", "doc_id", "text_key").join(setjoin.roots(scratch, every), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    place = scratch.write(place, "rooted-sets")
+    heads = place.where("nid = root").select("root", F.col("doc_id").alias("root_doc"), F.col("text_key").alias("root_key"))
+    some = place.where("copies > 1 or nid <> root").select("node", "root").join(heads, "root").drop("root")
+    some = scratch.write(some, "grouped-sets")
+    out = found.places.join(counted(some), "node").where((F.col("doc_id") != F.col("root_doc")) | (F.col("text_key") != F.col("root_key")))
+    out = keep.write(out.select("doc_id", "text_key", "root_doc", "root_key"), "near-copies")
+    scratch.drop()
+    return out
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """docs with one document of each group of near copies: the first. Of rows with equal doc_id and
+    text one stays; rows without a doc_id stay. All columns are kept."""
+    gone = materialize(near_copies(docs, id_col, text, **how).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), "gone-copies")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(text).alias("own_key"))
+    # Rows equal in both: few, so they are counted before any text moves.
+    again = materialize(row.where("own_id is not null").groupBy("own_id", "own_key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(F.col("own_id").alias("again_id"), F.col("own_key").alias("again_key")), "repeated-rows")
+    left = row.join(counted(gone), (F.col("own_id") == F.col("gone_id")) & (F.col("own_key") == F.col("gone_key")), "left_anti")
+    if not again.isEmpty():
+        met = left.join(counted(again), (F.col("own_id") == F.col("again_id")) & (F.col("own_key") == F.col("again_key")), "left")
+        once = met.where("again_id is not null").groupBy("own_id", "own_key").agg(F.first("row").alias("row")).select("row")
+        return met.where("again_id is null").select("row").unionByName(once).select("row.*")
+    return left.select("row.*")
+
+
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
