@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import delete, new_path
 
-SMALL = 200_000
+SMALL = 1_000_000
 
 
 def _write(df: DataFrame, path: str) -> DataFrame:
