@@ -61,7 +61,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 def plain_spans(text: str) -> list[Span]:
     """Identifiers as they stand, leftmost and not overlapping within a kind."""
     found = [(s, 0, e) for s, e in _emails(text)]
-    found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(q) <= 3 and int(q or 0) <= 255 for q in (p.lstrip("0") for p in m[0].split(".")))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(d := NOT_DIGIT.sub("", m[0])) <= 19 and _luhn(d):
             found.append((m.start(), 2, m.end()))
@@ -73,8 +73,8 @@ def plain_spans(text: str) -> list[Span]:
 
 #: Look-alikes of Latin letters that compatibility normalisation leaves as they are.
 GREEK_CYRILLIC = dict(zip("АВЕКМНОРСТХаеіјкорсухѕԁԛԝһІЈЅΑΒΕΖΗΙΚΜΝΟΡΤΥΧαινορυϲ", "ABEKMHOPCTXaeijkopcyxsdqwhIJSABEZHIKMNOPTYXaivopuc", strict=True))
-LIKE = str.maketrans(GREEK_CYRILLIC | dict.fromkeys("‐‑‒–—―−﹘﹣", "-") | dict.fromkeys("․。．｡·∙•", ".") | {"﹢": "+", "∔": "+"})
-INVISIBLE = frozenset("­​‌‍⁠﻿")
+LIKE = str.maketrans(GREEK_CYRILLIC | dict.fromkeys("\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe63\uff0d\ufe58", "-") | dict.fromkeys("\u2024\u3002\uff0e\uff61\u00b7\u2219\u2022", ".") | {"\ufe62": "+", "\u2214": "+"})
+INVISIBLE = frozenset("\u00ad\u200b\u200c\u200d\u2060\ufeff")
 
 #: Digit words by language, zero to nine.
 DIGIT_WORDS = {
@@ -93,11 +93,15 @@ SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:plus|más)[\s-]{{1,3}})?(?:{_DIGIT}|[0-
 SPELLED_HINT = re.compile(rf"(?:{_DIGIT})[\s,-]{{1,3}}(?:{_DIGIT}|{_SIGN}|[0-9])|(?:{_SIGN}|[0-9])[\s,-]{{1,3}}(?:{_DIGIT})")
 SPELLED_TOKEN = re.compile(rf"{_DIGIT}|{_SIGN}|[0-9]+")
 
-#: Bracketed disguises, and bare words that count only as a whole address.
+#: Bracketed disguises, and bare words that count only as a whole address. A match begins at the
+#: bracket or the word between; white space and the words about it are taken by looking outwards
+#: over pieces that were cut once, so no character is looked at again and again.
 _AT, _DOT = r"at|arroba|a|@|ät|chez", r"dot|punkt|point|punto|d|\."
-BRACKET = re.compile(rf"\s*[(\[{{<]\s*(?:(?P<at>{_AT})|(?P<dot>{_DOT}))\s*[)\]}}>]\s*", re.I)
-BARE = re.compile(r"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]+(?:(?:\.|\s+dot\s+)[A-Za-z0-9_%+-]+)*)(?P<at>\s+(?:at|arroba)\s+|\s?@\s?)(?P<domain>[A-Za-z0-9-]+(?:(?:\s+(?:dot|punkt|point|punto)\s+|\.)[A-Za-z0-9-]+)+)", re.I)
-BARE_DOT = re.compile(r"\s+(?:dot|punkt|point|punto)\s+", re.I)
+BRACKET = re.compile(rf"[(\[{{<]\s*+(?:(?P<at>{_AT})|(?P<dot>{_DOT}))\s*+[)\]}}>]", re.I)
+#: White space, or a run of the characters of an address, or any other character.
+PIECE = re.compile(r"(?P<space>\s++)|(?P<word>[A-Za-z0-9_%+-]++)|.", re.S)
+BARE_AT, BARE_DOT = frozenset(("at", "arroba")), frozenset(("dot", "punkt", "point", "punto"))
+HOST = re.compile(r"[A-Za-z0-9-]+")
 
 
 class Mapped:
@@ -162,19 +166,70 @@ def _spelled_digits(m: Mapped) -> None:
     m.replace(edits)
 
 
+def _brackets(text: str) -> list[tuple[int, int, str]]:
+    edits, done = [], 0
+    for x in BRACKET.finditer(text):
+        start, end = x.span()
+        while start > done and text[start - 1].isspace():
+            start -= 1
+        while end < len(text) and text[end].isspace():
+            end += 1
+        edits.append((start, end, "@" if x["at"] else "."))
+        done = end
+    return edits
+
+
+def _bare(text: str) -> list[tuple[int, int, str]]:
+    """Edits of addresses in bare words: a local part, an at, and a domain with a dot spelled. Each
+    part is words with dots between; a dot is '.', or a dot word in white space."""
+    p = [(m.start(), m.end(), m.lastgroup, m[0].lower()) for m in PIECE.finditer(text)]
+    n = len(p)
+    word = lambda i: 0 <= i < n and p[i][2] == "word"
+    space = lambda i: 0 <= i < n and p[i][2] == "space"
+
+    def dot(i: int, step: int) -> tuple[int, tuple[int, int, str] | None] | None:
+        """The piece after a dot that begins at i in the direction of step, and the edit it asks for."""
+        if 0 <= i < n and p[i][3] == "." and word(i + step):
+            return i + step, None
+        if space(i) and word(i + step) and p[i + step][3] in BARE_DOT and space(i + 2 * step) and word(i + 3 * step):
+            first, last = min(i, i + 2 * step), max(i, i + 2 * step)
+            return i + 3 * step, (p[first][0], p[last][1], ".")
+        return None
+
+    edits, done = [], 0
+    for i in range(n):
+        if word(i) and p[i][3] in BARE_AT and space(i - 1) and space(i + 1):
+            left, right = i - 2, i + 2
+        elif p[i][3] == "@":
+            left, right = i - 1 - (space(i - 1) and p[i - 1][1] - p[i - 1][0] == 1), i + 1 + (space(i + 1) and p[i + 1][1] - p[i + 1][0] == 1)
+        else:
+            continue
+        if not (word(left) and word(right)) or left < done or p[left][3] in BARE_DOT or not HOST.fullmatch(p[right][3]):
+            continue
+        at, before, after, spelled, dots = (p[left + 1][0] if left + 1 < i else p[i][0], p[right - 1][1] if right - 1 > i else p[i][1], "@"), [], [], False, 0
+        while (met := dot(right + 1, 1)) and HOST.fullmatch(p[met[0]][3]):
+            right, dots = met[0], dots + 1
+            if met[1]:
+                after.append(met[1])
+                spelled = True
+        if not spelled:
+            continue
+        while (met := dot(left - 1, -1)) and met[0] >= done:
+            left = met[0]
+            if met[1]:
+                before.append(met[1])
+        edits += [*reversed(before), at, *after]
+        done = right + 1
+    return edits
+
+
 def _at_dot(m: Mapped) -> None:
-    m.replace([(x.start(), x.end(), "@" if x["at"] else ".") for x in BRACKET.finditer(m.text)])
-    edits = []
-    for x in BARE.finditer(m.text):
+    m.replace(_brackets(m.text))
+    if HINT_DOT.search(m.text):
         # A stop may end a sentence: bare words are an address only with a dot spelled in the domain.
-        if not BARE_DOT.search(x["domain"]):
-            continue
-        dots = lambda part: [(x.start(part) + d.start(), x.start(part) + d.end(), ".") for d in BARE_DOT.finditer(x[part])]  # noqa: B023, E731
-        edits += [*dots("local"), (x.start("at"), x.end("at"), "@"), *dots("domain")]
-    m.replace(edits)
+        m.replace(_bare(m.text))
 
 
-HINT_BRACKET = re.compile(r"[(\[{<]\s*(?:at|arroba|a|@|ät|chez|dot|punkt|point|punto|d|\.)\s*[)\]}>]", re.I)
 HINT_DOT = re.compile(r"\s(?:dot|punkt|point|punto)\s", re.I)
 
 
@@ -187,7 +242,7 @@ def _disguised(text: str) -> bool:
             return True
         if "\xa0" in text or "\xad" in text or "\xb7" in text:
             return True
-    return bool(SPELLED_HINT.search(_lower(text)) or HINT_BRACKET.search(text) or HINT_DOT.search(text))
+    return bool(SPELLED_HINT.search(_lower(text)) or BRACKET.search(text) or HINT_DOT.search(text))
 
 
 def added_spans(text: str, plain: list[Span]) -> list[Span]:
