@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ann, langid, linededup, mixing, packing, pii, quality, simhash, toxicity, warc
+from corpusloom.llm import ann, langid, linededup, mixing, packing, pii, quality, setjoin, simhash, tokens, toxicity, warc
 from corpusloom.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -138,6 +138,20 @@ def test_op2_hint_holds_for_every_run():
             assert pii.SPELLED_HINT.search(text), text
 
 
+def test_op2_long_figures_and_linear_time():
+    import time
+
+    assert pii.find_spans("0" * 5000 + ".1.1.1")[0] == [(0, 1, 5006)]
+    for unit in ("a dot ", "a at ", " ( ", "a.b ", "x dot a at ", "one-1-", "( "):
+        text, began = unit * (200_000 // len(unit)), time.process_time()
+        pii.find_spans(text)
+        assert time.process_time() - began < 6, unit
+    for text in ("x dot y" + " " * 200_000, "(" * 200_000, "<at" + " " * 200_000):
+        began = time.process_time()
+        pii.find_spans(text)
+        assert time.process_time() - began < 6
+
+
 def test_op2_leaves_prose_alone():
     for t in ("We met at home. Dot com firms came.", "One two three, said the cat.", "At 5 point 3 we stop.", "a" * 100_000, "1" * 100_000, "one " * 20_000):
         assert pii.find_spans(t)[1] == []
@@ -385,7 +399,8 @@ def test_op9_repeated_rows_keep_their_text(spark):
 
 
 def test_op9_groups_beyond_the_first_candidates(spark, monkeypatch):
-    monkeypatch.setattr(linededup, "FIRST", 1)
+    monkeypatch.setattr(setjoin, "ROUNDS", (1, 2, None))
+    monkeypatch.setattr(setjoin, "CHUNK", 8)  # so that tokens are cut into chunks
     rng = random.Random(4)
     base = [f"common{k}" for k in range(12)]
     texts = {i: "\n".join(" ".join(rng.sample(base, 9) + [f"z{rng.randrange(4)}" for _ in range(2)]) for _ in range(6)) for i in range(40)}
@@ -396,6 +411,79 @@ def test_op9_groups_beyond_the_first_candidates(spark, monkeypatch):
     assert dict(got) == brute_lines(texts)
 
 
+def brute_classes(rows, similarity=0.8):
+    """{(doc, text): (n_links, class_id)} over all pairs of lines."""
+    lines = [(k, frozenset(re.sub("[A-Z]", lambda m: m[0].lower(), x).split())) for k, (_, t) in enumerate(rows) for x in (t or "").split("\n") if x.split()]
+    up = list(range(len(lines)))
+
+    def find(up, i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, (_, v) in enumerate(lines):
+        for j, (_, w) in enumerate(lines[:i]):
+            if len(v & w) >= similarity * len(v | w) - 1e-9:
+                x, y = find(up, i), find(up, j)
+                up[max(x, y)] = min(x, y)
+    size, ids = collections.Counter(find(up, i) for i in range(len(lines))), sorted({d for d, _ in rows})
+    links, docs, head = collections.Counter(), {d: d for d in ids}, {}
+    for i, (k, _) in enumerate(lines):
+        root, doc = find(up, i), rows[k][0]
+        links[rows[k]] += size[root] - 1
+        if size[root] > 1:
+            x, y = find(docs, doc), find(docs, head.setdefault(root, doc))
+            docs[max(x, y)] = min(x, y)
+    return {r: (links[r], find(docs, r[0])) for r in rows}
+
+
+def test_op9_classes_equal_brute_force_for_any_partitions(spark):
+    rng = random.Random(7)
+    line = lambda g: [f"g{g}w{k}" for k in range(12)]
+    rows = []
+    for i in range(60):
+        text = []
+        for _ in range(3):
+            words = line(rng.randrange(25))
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(12)] = f"x{rng.randrange(4)}"
+            text.append(" ".join(words))
+        rows.append((i if i % 9 else 3, "\n".join(text)))
+    rows += [(2**40, "only line here of mine"), (2**40 + 1, ""), (2**40 + 2, None), (-5, "g1w0 alone")]
+    want = brute_classes(rows)
+    for parts in (1, 2, 8):
+        found = linededup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts))
+        texts = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+        got = {(r["doc_id"], r["text"]): (r["n_links"], r["class_id"]) for r in found.join(texts, ["doc_id", "text_key"]).collect()}
+        assert got == {k: v for k, v in want.items() if v[0]}
+
+
+def test_op9_ids_that_repeat_lose_no_other_line(spark):
+    rows = [(1, "the line x"), (2, "the line x"), (2, "another line y"), (0, "first"), (2**40, "last")]
+    got = sorted((r["doc_id"], r["text"]) for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, "first"), (1, "the line x"), (2, ""), (2, "another line y"), (2**40, "last")]
+
+
+def test_op9_query_counts_lines_and_links(spark, tmp_path):
+    rows = [(1, "A b c\n\nd e"), (2, "x y\na B c"), (3, None), (4, "q")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_lines"], r["n_links"], r["class_id"], r["removed_lines"]) for r in linededup.op9_line_dedup(spark, f"file://{tmp_path}").collect()}
+    assert got == {1: (2, 1, 1, ""), 2: (2, 1, 1, "1"), 3: (0, 0, 3, ""), 4: (1, 0, 4, "")}
+
+
+def test_words_of_batches():
+    import pyarrow as pa
+
+    texts = ["Ab c\nab  D", None, "", "x" * 200_000 + " C\n" + "y", "\n\n", "é É\tab"]
+    row, line, number = tokens.lines(pa.array(["skip", *texts]).slice(1))
+    want = [(i, n, re.sub("[A-Z]", lambda m: m[0].lower(), w)) for i, t in enumerate(texts) for n, x in enumerate((t or "").split("\n")) for w in re.split(r"[\x20\x09-\x0D]+", x) if w]
+    assert list(zip(row, line)) == [(i, n) for i, n, _ in want]
+    names = collections.defaultdict(set)
+    for (_, _, w), h in zip(want, number.tolist()):
+        names[w].add(h)
+    assert all(len(v) == 1 for v in names.values()) and len(set.union(*names.values())) == len(names)
+
+
 def test_op10_recall(spark):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(20, 32))
@@ -427,12 +515,11 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     kept = {r["row"]["doc_id"]: r["clean_text"] for r in quality.judge(spark.read.parquet(f"{SF}/documents.parquet")).collect() if r["kept"]}
     gone = brute_lines(kept)
     kept = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone.get(i, ())) for i, t in kept.items()}
-    prints = {i: simhash.fingerprint(t) & (1 << 64) - 1 for i, t in kept.items()}
-    parent = {i: i for i in kept}
+    sets, parent = {i: brute_shingles(t) for i, t in kept.items()}, {i: i for i in kept}
     find = lambda i: i if parent[i] == i else find(parent[i])
     for a in sorted(kept):
         for b in sorted(kept):
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= 3:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     kept = {i: t for i, t in kept.items() if find(i) == i}
@@ -492,6 +579,20 @@ def test_pipeline_near_dedup_deletes_rows_not_ids(spark):
     assert got == [(0, a), (0, a), (1, b), (5, a), (7, c)]
 
 
+def test_pipeline_near_dedup_on_odd_and_empty_tables(spark):
+    import corpus_pipeline
+
+    d = odd(spark)
+    d = d.select("*", *[F.lit("x").alias(c) for c in ("gone", "__again", "root", "own_id", "gone_id")])
+    got = corpus_pipeline.near_dedup(spark, d, "")
+    assert got.columns == d.columns
+    # One of 1 and 8 and of the long texts each; of those without words the first.
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in got.collect()) == [(False, 0), (False, 0), (True, 1), (True, 2), (True, 5), (True, 7), (True, 8)]
+    none = d.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, "").count() == 0
+
+
 def brute_fill(nodes, budget, power):
     """Budgets of nodes {name: tokens}: shares by weight, none above what it holds."""
     out, left = {}, dict(nodes)
