@@ -13,11 +13,12 @@ from .text import ltrim, text_or_empty, trim
 FLAT = r"""\A[A-Za-z_]\w*:(?:[ \t]+(?:"[^"]*"|'[^']*'|[^"'\s][^\n]*)?)?[ \t]*\z"""
 
 
-def parse(df: DataFrame, markdown: str = "markdown", general: bool = False) -> DataFrame:
+def parse(df: DataFrame, markdown: str = "markdown", general: bool = True) -> DataFrame:
     """Adds fm_present, the four fields (null if absent) and body.
 
-    The block ends at the next ``---`` wherever it stands. A block that is no flat YAML gives no
-    data, yet is still cut from the body. ``general`` reads what is not flat with a YAML library.
+    The block ends at the next ``---`` wherever it stands, and is cut from the body. Flat YAML is
+    read here; with ``general`` a YAML library reads, in Arrow batches, the blocks that are not flat:
+    any mapping or list is data. A block that is neither gives no data.
     """
     md = text_or_empty(F.col(markdown))
     left = ltrim(md)
@@ -35,31 +36,33 @@ def parse(df: DataFrame, markdown: str = "markdown", general: bool = False) -> D
         out = out.withColumn(f, F.when(F.col("fm_present") & F.col("_yaml").rlike(rf"(?m)^{f}:"), value))
     out = out.withColumn("body", F.when(F.col("_has"), ltrim(F.expr("substring(_left, _close + 3)"))).otherwise(md))
     if general:
-        out = out.withColumn("_more", F.when(F.col("_has") & ~F.col("fm_present"), yaml_fields(F.col("_yaml"))))
+        out = out.withColumn("_more", yaml_fields(F.when(F.col("_has") & ~F.col("fm_present"), F.col("_yaml"))))
         for f in FIELDS:
             out = out.withColumn(f, F.coalesce(f, F.col("_more")[f]))
-        some = F.coalesce(*[F.col("_more")[f] for f in FIELDS]).isNotNull()
-        out = out.withColumn("fm_present", F.col("fm_present") | some).drop("_more")
+        out = out.withColumn("fm_present", F.col("fm_present") | F.coalesce(F.col("_more.present"), F.lit(False))).drop("_more")
     return out.drop("_left", "_close", "_has", "_yaml")
 
 
 def yaml_fields(block: Column) -> Column:
-    """Fields of any YAML mapping, every value as text; null rows where it is none."""
+    """Whether a block of YAML is a mapping or a list, and its fields, every value as text."""
 
-    def one(text: str | None) -> list[str | None]:
+    def one(text: str | None) -> tuple:
         import yaml
 
-        try:
-            data = yaml.load(text or "", Loader=yaml.BaseLoader)
-        except yaml.YAMLError:
-            data = None
-        return [str(v) if (v := data.get(f)) is not None else None for f in FIELDS] if isinstance(data, dict) else [None] * 4
+        data = None
+        if text:
+            try:
+                data = yaml.load(text, Loader=yaml.BaseLoader)
+            except (yaml.YAMLError, ValueError):
+                pass
+        of = data if isinstance(data, dict) else {}
+        # The loader gives '' for a value that is absent; such a field is missing either way.
+        return (isinstance(data, dict | list), *[None if of.get(f) in (None, "~", "null") else str(of[f]) for f in FIELDS])
 
-    @F.pandas_udf("department string, topic string, course_id string, course_name string")
     def read(blocks: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(list(map(one, blocks)), columns=FIELDS)
+        return pd.DataFrame(list(map(one, blocks)), columns=["present", *FIELDS])
 
-    return read(block)
+    return F.pandas_udf(read, "present boolean, department string, topic string, course_id string, course_name string")(block)
 
 
 def build(department: Column, topic: Column, course_id: Column, course_name: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space beyond ASCII that trims and splits honour.
-SPACE = r"[\s\x0B   -     　﻿]"
+SPACE = r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 #: An ASCII word boundary; Java's own is Unicode-aware.
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 WORD = "[A-Za-z0-9_]+"
@@ -96,11 +96,13 @@ def snippet(text: Column, size: int = 240) -> Column:
 
 
 def clamp(text: Column, size: int = 4000) -> Column:
+    # Fixed value: the mark of a cut.
     return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size), F.lit("\n…[truncated]"))).otherwise(text)
 
 
 def strip_orphan_fences(text: Column) -> Column:
-    bare = F.regexp_replace(text, r"(?m)^[ \t]*```\w*[ \t]*$\n?", "")
+    """Lines that are nothing but a fence become empty."""
+    bare = F.regexp_replace(text, r"(?m)^[ \t]*```\w*[ \t]*$", "")
     return F.concat(trim(collapse_blank_lines(bare)), F.lit("\n"))
 
 

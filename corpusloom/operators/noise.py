@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.config import NoiseConfig
 from ..functions.text import blocks, collapse_blank_lines, is_blank, text_or_empty, trim
 
+# Labels of dropped slides.
+FIRST, LAST = "first (title-only)", "last (thank-you / Q&A / closing)"
+
 
 def slides(markdown: Column) -> Column:
     """Trimmed blocks from H1 to H1; text before the first is a slide of its own."""
@@ -40,7 +43,7 @@ def filter_noise(docs: DataFrame, markdown: str = "markdown", config: NoiseConfi
     out = out.withColumn("_n", F.aggregate(lines, F.lit(0), lambda a, ls: a + F.size(F.filter(ls, lambda x: is_noise(x, config) & (trim(x) != "")))))
     kept = F.transform("_t", lambda s: trim(F.array_join(F.filter(F.split(s, "\n"), lambda x: ~is_noise(x, config)), "\n")))
     out = out.withColumn("_k", F.filter(kept, lambda s: s != ""))
-    dropped = F.concat(F.when(F.col("_first"), F.array(F.lit("first (title-only)"))).otherwise(none), F.when(F.col("_last"), F.array(F.lit("last (closing)"))).otherwise(none))
+    dropped = F.concat(F.when(F.col("_first"), F.array(F.lit(FIRST))).otherwise(none), F.when(F.col("_last"), F.array(F.lit(LAST))).otherwise(none))
     return out.select(
         *docs.columns,
         collapse_blank_lines(F.array_join("_k", "\n\n")).alias("cleaned"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.config import ALIASES, HOOKS, METRICS, ROLES, SUGGESTED_ROLES
 from ..functions.text import has_term, trim
 
+# Fixed value: words of a chunk of steps.
 STEPS = r"(?iu)(?:steps?|langkah|prosedur|how to|cara)(?![A-Za-z0-9_])"
 
 
@@ -56,9 +57,10 @@ def insert_term(text: Column, term: Column) -> Column:
     sentence in front."""
     head = F.get(F.split(text, "\n"), 0)
     rest = F.substr(text, F.length(head) + 1)
-    sentence = F.concat(F.lit("This section covers "), term, F.lit("."))
-    with_head = F.when((F.length(head) < 80) & ~F.contains(head, F.lit("(")), F.concat(head, F.lit(" ("), term, F.lit(")"), rest)).otherwise(F.concat(head, F.lit("\n\n"), sentence, rest))
-    return F.when((term == "") | has_term(text, term), text).when(head.startswith("# "), with_head).otherwise(F.concat(sentence, F.lit("\n\n"), text))
+    # The two sentences.
+    known, relates = (F.concat(F.lit(x), term, F.lit("**.")) for x in ("This section is also known by the term **", "This section relates to **"))
+    with_head = F.when((F.length(head) < 80) & ~F.contains(head, F.lit("(")), F.concat(head, F.lit(" ("), term, F.lit(")"), rest)).otherwise(F.concat(head, F.lit("\n\n"), known, rest))
+    return F.when((term == "") | has_term(text, term), text).when(head.startswith("# "), with_head).otherwise(F.concat(relates, F.lit("\n\n"), text))
 
 
 def apply(docs: DataFrame, markdown: str, chunk: str, term: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Rule checks on markdown documents, their summary, and the plan of fixes.
 
-A document's issues are built as one array in its own row: checks need no join and no shuffle.
+A document's issues are built in its own row, without a join; one window numbers them by document.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ from pyspark.sql.window import Window
 
 from ..functions import frontmatter
 from ..functions.config import FIELDS, MAX_TOKENS, MIN_TOKENS
-from ..functions.text import SPACE, blocks, is_blank, split_before, trim, units
+from ..functions.text import EDGE, blocks, is_blank, split_before, trim, units
 
+# List lines, telephone numbers and addresses as the checks know them.
 BULLET = r"\A\s*(?:[-*+]\s+|\d+\.\s+)"
 PHONE = r"\+?\d[\d\s\-()]{7,}"
-EMAIL = r"[\w.+-]+@[\w-]+\.[\w.]+"
+EMAIL = r"[\w.%+\-]+@[\w.-]+\.\w+"
 
 
 def sections(body: Column) -> Column:
@@ -62,6 +63,7 @@ def validate(docs: DataFrame, markdown: str = "markdown", entity: str = "", low:
         *[when(F.coalesce(F.col(f), F.lit("")) == "", _issue(1, zero, F.lit(k), 0, "frontmatter", "error", F.lit(f"frontmatter.{f}"), F.lit(f"Required field {f} is missing or empty."))) for k, f in enumerate(FIELDS)],
         when(stray > 2, _issue(2, zero, zero, 0, "frontmatter", "warn", F.lit("body"), F.concat(F.lit("Found "), stray.cast("string"), F.lit(" separator lines; two are expected.")))),
         when(F.size("ss") == 0, _issue(3, zero, zero, 0, "structure", "warn", F.lit("body"), F.lit("The body has no section."))),
+        when(F.col("body").rlike(rf"(?i){EDGE}contact\s+(us|me){EDGE}") & ~F.col("body").rlike(PHONE) & ~F.col("body").rlike(EMAIL), _issue(7, zero, zero, 0, "explicit_contact", "info", F.lit("body"), F.lit("Contact is asked for without a number or address."))),
     ]
     top = d.select(*keys, F.inline(F.concat(*head)))
     s = d.select(*keys, F.posexplode("ss").alias("k", "s"))
@@ -73,7 +75,6 @@ def validate(docs: DataFrame, markdown: str = "markdown", entity: str = "", low:
         when(t > high, _issue(4, k, zero, 1, "token_max", "warn", place, said("Chunk has ", t, f" tokens; at most {high} are expected."))),
         when((F.lit(entity) != "") & ~F.contains(F.lower("s"), F.lit(entity.lower())), _issue(4, k, zero, 2, "entity", "warn", place, F.lit(f"Entity {entity} does not appear in the body."))),
         when(bullets_without_lead(F.col("s")), _issue(6, k, zero, 0, "bridge_sentence", "info", place, F.lit("A list has no sentence that leads in."))),
-        when(F.col("s").rlike(r"(?i)\bcontact\s+(us|me)\b") & ~F.col("s").rlike(PHONE) & ~F.col("s").rlike(EMAIL), _issue(7, k, zero, 0, "explicit_contact", "info", place, F.lit("Contact is asked for without a number or address."))),
     ]
     each = s.select(*keys, F.inline(F.concat(*body)))
     h2 = s.select(*keys, "k", F.posexplode(split_before(F.col("s"), r"##\s+")).alias("sub", "piece")).where("sub > 0").withColumn("t", counter(F.col("piece"))).where(F.col("t") < low)

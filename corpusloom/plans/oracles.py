@@ -143,7 +143,7 @@ n6 AS (SELECT {key}, b, f, z, CASE WHEN z THEN t[1:len(t) - 1] ELSE t END AS t F
 n7 AS (SELECT *, list_filter(list_transform(t, lambda s: {trim(f"array_to_string(list_filter(string_split(s, chr(10)), lambda x: NOT regexp_matches({trim('x')}, '{NOISE_LINE}')), chr(10))")}), lambda s: s <> '') AS k,
   list_sum(list_transform(t, lambda s: len(list_filter(string_split(s, chr(10)), lambda x: regexp_matches({trim('x')}, '{NOISE_LINE}'))))) AS n FROM n6),
 noise AS (SELECT {key}, {collapse("array_to_string(k, chr(10) || chr(10))")} AS cleaned, CAST(len(b) AS BIGINT) AS original_slides, CAST(len(k) AS BIGINT) AS kept_slides,
-  concat_ws(' | ', CASE WHEN f THEN 'first (title-only)' END, CASE WHEN z THEN 'last (closing)' END) AS dropped_slides, CAST(coalesce(n, 0) AS BIGINT) AS noise_lines_stripped FROM n7)"""
+  concat_ws(' | ', CASE WHEN f THEN 'first (title-only)' END, CASE WHEN z THEN 'last (thank-you / Q&A / closing)' END) AS dropped_slides, CAST(coalesce(n, 0) AS BIGINT) AS noise_lines_stripped FROM n7)"""
 
 
 BULLET = r"^\s*(?:[-*+]\s+|\d+\.\s+)"
@@ -172,8 +172,8 @@ UNION ALL SELECT {key}, 4, section, 0, 1, 'token_max', 'warn', place, 'Chunk has
 UNION ALL SELECT {key}, 4, section, 0, 2, 'entity', 'warn', place, 'Entity {entity} does not appear in the body.' FROM v2 WHERE NOT contains(lower(s), {q(entity.lower())})
 UNION ALL SELECT {key}, 5, section, sub, 0, 'merge_short_h2', 'info', {trim("string_split(piece, chr(10))[1]")}, 'Subsection has ' || t || ' tokens; consider merging it.' FROM v5 WHERE t < 70
 UNION ALL SELECT {key}, 6, section, 0, 0, 'bridge_sentence', 'info', place, 'A list has no sentence that leads in.' FROM v2 WHERE {BAD}
-UNION ALL SELECT {key}, 7, section, 0, 0, 'explicit_contact', 'info', place, 'Contact is asked for without a number or address.' FROM v2
-  WHERE regexp_matches(s, '(?i)\\bcontact\\s+(us|me)\\b') AND NOT regexp_matches(s, '\\+?\\d[\\d\\s\\-()]{{7,}}') AND NOT regexp_matches(s, '[\\w.+-]+@[\\w-]+\\.[\\w.]+')),
+UNION ALL SELECT {key}, 7, 0, 0, 0, 'explicit_contact', 'info', 'body', 'Contact is asked for without a number or address.' FROM {source}
+  WHERE regexp_matches(body, '(?i)\\bcontact\\s+(us|me)\\b') AND NOT regexp_matches(body, '\\+?\\d[\\d\\s\\-()]{{7,}}') AND NOT regexp_matches(body, '[\\w.%+\\-]+@[\\w.-]+\\.\\w+')),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY phase, section, sub, rule) AS ord FROM issues)"""
 
 
@@ -227,11 +227,11 @@ SUGGEST = _suggestions()
 
 
 def inserted(text: str, term: str) -> str:
-    head, sentence = f"string_split({text}, chr(10))[1]", q(f"This section covers {term}.")
+    head, known, relates = f"string_split({text}, chr(10))[1]", q(f"This section is also known by the term **{term}**."), q(f"This section relates to **{term}**.")
     rest = f"substr({text}, length({head}) + 1)"
     return f"""CASE WHEN {has(text, term)} THEN {text}
- WHEN starts_with({head}, '# ') THEN CASE WHEN length({head}) < 80 AND NOT contains({head}, '(') THEN {head} || ' ({term})' || {rest} ELSE {head} || chr(10) || chr(10) || {sentence} || {rest} END
- ELSE {sentence} || chr(10) || chr(10) || {text} END"""
+ WHEN starts_with({head}, '# ') THEN CASE WHEN length({head}) < 80 AND NOT contains({head}, '(') THEN {head} || ' ({term})' || {rest} ELSE {head} || chr(10) || chr(10) || {known} || {rest} END
+ ELSE {relates} || chr(10) || chr(10) || {text} END"""
 
 
 PAIRS = f"""sec AS (SELECT CAST(regexp_extract(source, '([0-9]+)', 1) AS BIGINT) AS d, doc_id AS s, text, source FROM documents),
@@ -271,6 +271,8 @@ for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), (
 HTML = f"{trim(collapse(f'regexp_replace({HTML}, {q(chr(91) + ' ' + chr(92) + 't]+' + chr(92) + 'n')}, chr(10), {q('g')})'))} || chr(10)"
 
 _Q = "replace(text, '\"', '')"
+FENCED = "'```markdown' || chr(10) || text || chr(10) || '  ```js ' || chr(10) || 'one' || chr(10) || '```' || chr(10) || 'two ```' || chr(10) || '```' || repeat(chr(10), 4) || '  tail ' || chr(10)"
+
 SQL = {
     "md_compose": f"WITH {MD} SELECT doc_index, doc_name, md5(markdown) AS md5, length(markdown) AS chars FROM md_docs",
     "frontmatter_parse": f"WITH {FM} SELECT doc_index, fm_present, {', '.join(FIELDS)}, md5(body) AS body_md5 FROM fm",
@@ -332,7 +334,7 @@ SELECT batch_no, count(*) AS pairs, md5(string_agg(t, chr(10) || chr(10) ORDER B
 SELECT pair_id, o AS original_order, accepted FROM judged JOIN ok USING (o)""",
     "rewrite_parse": f"""WITH b AS (SELECT item_id, trim({_QUIET('text', 60)}) AS t FROM benchmark) SELECT item_id, CASE WHEN item_id % 2 = 0 THEN t ELSE 'A' END AS section_a, CASE WHEN item_id % 2 = 0 THEN 'B' ELSE t END AS section_b FROM b""",
     "questions_parse": f"""WITH b AS (SELECT item_id, {_QUIET('text', 60)} AS t FROM benchmark) SELECT item_id, concat_ws(' | ', nullif(t, ''), 'Why ' || item_id || '?') AS questions FROM b""",
-    "fence_strip": f"SELECT item_id, md5({trim(collapse('text || repeat(chr(10), 4) || ' + q('  tail ')))} || chr(10)) AS md5 FROM benchmark",
+    "fence_strip": "SELECT item_id, md5(" + trim(collapse("regexp_replace(" + FENCED + ", '(?m)^[ \\t]*```\\w*[ \\t]*$', '', 'g')")) + " || chr(10)) AS md5 FROM benchmark",
     "section_clamp": f"SELECT doc_id, length({clamp('text')}) AS chars, md5({clamp('text')}) AS md5 FROM documents",
     "standardize_render": "SELECT doc_id, md5(CASE WHEN doc_id % 3 > 0 AND source <> '' AND lang <> '' AND text <> '' THEN 'Rewrite the notes below as a knowledge document with frontmatter.' || chr(10) || 'Department: ' || source || chr(10) || 'Topic: ' || lang || chr(10) || 'Course: ' || doc_id || ' Course' || chr(10) || chr(10) || text END) AS md5 FROM documents",
     "standardize_stub": f"SELECT doc_id, md5({trim(collapse(q('Rewrite the notes below as a knowledge document with frontmatter.') + ' || chr(10) || ' + q('Department: ') + ' || source || chr(10) || ' + q('Topic: ') + ' || lang || chr(10) || ' + q('Course: ') + ' || doc_id || ' + q(' Course') + ' || chr(10) || chr(10) || text'))} || chr(10)) AS md5 FROM documents",

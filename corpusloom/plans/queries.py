@@ -344,7 +344,7 @@ def questions_parse(spark, sf_dir, most=60):
 
 
 def fence_strip(spark, sf_dir):
-    fenced = F.concat(F.lit("```markdown\n"), F.col("text"), F.lit("\n\n\n\n```\n  tail \n"))
+    fenced = F.concat(F.lit("```markdown\n"), F.col("text"), F.lit("\n  ```js \none\n```\ntwo ```\n```\n\n\n\n  tail \n"))
     return _t(spark, sf_dir, "benchmark").select("item_id", F.md5(T.strip_orphan_fences(fenced)).alias("md5"))
 
 

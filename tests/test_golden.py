@@ -184,3 +184,27 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sorted(r["doc_name"] for r in corpus.read_markdown(spark, str(tmp_path)).collect()) == ["a.md", "c.Markdown"]
     zips = corpus.write_zips(corpus.read_markdown(spark, str(tmp_path)), f"file://{tmp_path}").collect()
     assert sum(r["files"] for r in zips) == 2
+
+
+def test_contact_is_sought_in_the_whole_body(spark):
+    assert ("explicit_contact", "body") in checks(spark, "# A\ncontact us\n# B\nby mail")
+    assert "explicit_contact" not in [c for c, _ in checks(spark, "# A\ncontact us\n# B\n+49 30 1234567")]
+    assert "explicit_contact" not in [c for c, _ in checks(spark, "# A\nContact me\n# B\na.b%c@x-y.org")]
+
+
+def test_fences_leave_an_empty_line(spark):
+    from corpusloom.functions.text import strip_orphan_fences
+
+    rows = spark.createDataFrame([("a\n```\nb",), ("```md\n# x\n```",)], "t string")
+    assert [r[0] for r in rows.select(strip_orphan_fences(F.col("t"))).collect()] == ["a\n\nb\n", "# x\n"]
+
+
+def test_frontmatter_of_any_yaml(spark):
+    md = "---\ndepartment: D\ntopic: T\ncourse_id: 7\ncourse_name: N\ntags:\n  - a\n  - b\nowner:\n  name: x\n---\n# X"
+    (r,) = frontmatter.parse(docs(spark, md)).collect()
+    assert (r["fm_present"], r["department"], r["topic"], r["course_id"], r["course_name"], r["body"]) == (True, "D", "T", "7", "N", "# X")
+    assert "frontmatter" not in [c for c, _ in checks(spark, md)]
+    (r,) = frontmatter.parse(docs(spark, "---\nother:\n  - a\n---\n# X")).collect()
+    assert (r["fm_present"], r["topic"]) == (True, None)
+    (r,) = frontmatter.parse(docs(spark, "---\na: [b\n---\n# X")).collect()
+    assert not r["fm_present"]
