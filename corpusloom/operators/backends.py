@@ -96,6 +96,11 @@ def enrich_verdicts(verdicts: DataFrame, candidates: DataFrame) -> DataFrame:
     return kept.withColumn("offer_delete", F.col("dominant").isin("a", "b"))
 
 
+def verdict_lists(enriched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The list of duplicates and that of overlaps."""
+    return enriched.where("verdict = 'duplicate'"), enriched.where("verdict = 'overlap'")
+
+
 def read_rewrite(reply: Column) -> Column:
     """The two sections of a rewrite reply, trimmed; null unless both are texts."""
     r = salvage_json(reply, "struct<section_a:string,section_b:string>")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import collapse_blank_lines, rtrim
+from ..functions.text import collapse_blank_lines, first_h1, rtrim
 
 
 def occurs(markdown: Column, part: Column) -> Column:
@@ -59,6 +59,40 @@ def undo(history: DataFrame, doc_index: int, part: Column, before: Column) -> Da
     return history.unionByName(back)
 
 
+def commit(docs: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs: (doc_index, markdown); edits as in ``rewrite_pairs``, with a_sec and b_sec. All edits in
+    their order, each both sides or none. (history, report): history holds version 0 of every
+    document and version 1 of those that an edit changed; report adds ``state`` to every edit: done,
+    stale (a section no longer stands in its document) or claimed (by an earlier edit)."""
+    named = admissible(edits)
+    a, b = docs.select(F.col("doc_index").alias("a_doc"), F.col("markdown").alias("a_md")), docs.select(F.col("doc_index").alias("b_doc"), F.col("markdown").alias("b_md"))
+    found = named.join(a, "a_doc", "left").join(b, "b_doc", "left")
+    both = F.coalesce(occurs(F.col("a_md"), F.col("a_text")) & occurs(F.col("b_md"), F.col("b_text")), F.lit(False))
+    report = found.withColumn("state", F.when(~F.col("accepted"), "claimed").when(both, "done").otherwise("stale")).drop("a_md", "b_md", "accepted")
+    return _next_version(docs.select("doc_index", F.lit(0).alias("version"), "markdown"), report.where("state = 'done'"), back=False), report
+
+
+def _next_version(history: DataFrame, edits: DataFrame, back: bool) -> DataFrame:
+    """history and one more version of each document with an edit; ``back`` puts the old sections in."""
+    side = lambda c: F.struct("original_order", F.col(f"{c}_doc").alias("doc_index"), F.col(f"new_{c}" if back else f"{c}_text").alias("old"), F.col(f"{c}_text" if back else f"new_{c}").alias("new"))
+    # A section is edited once, so a document has no more edits than sections.
+    each = edits.select(F.explode(F.array(side("a"), side("b"))).alias("e")).groupBy("e.doc_index").agg(F.sort_array(F.collect_list("e"), asc=not back).alias("es"))
+    new = versions(history).join(each, "doc_index").select("doc_index", (F.col("version") + 1).alias("version"), F.aggregate("es", F.col("markdown"), lambda md, e: replace_first(md, e["old"], e["new"])).alias("markdown"))
+    return history.unionByName(new)
+
+
+def revert(history: DataFrame, edits: DataFrame) -> DataFrame:
+    """Undo of done edits: one more version of their documents with the old sections put back; other
+    edits of the same documents stay. The pairs come back to the list by original_order."""
+    return _next_version(history, edits, back=True)
+
+
+def report_deletions(pairs: DataFrame, side: Column) -> DataFrame:
+    """pairs with a_text and b_text; side is 'a' or 'b'. Headings of the deleted and the kept section."""
+    a, b = first_h1(F.col("a_text")), first_h1(F.col("b_text"))
+    return pairs.withColumn("deleted_side", side).withColumn("deleted_heading", F.when(side == "a", a).otherwise(b)).withColumn("kept_heading", F.when(side == "a", b).otherwise(a))
+
+
 def batches(pairs: DataFrame, order: list, size: int = 8) -> DataFrame:
     """Adds original_order and batch_no to a capped list of pairs."""
     n = F.row_number().over(Window.orderBy(*order)) - 1

@@ -76,7 +76,8 @@ def candidate_pairs(rows: DataFrame, threshold: float = 0.12, most: int = 80, st
     heads = heads.join(other, "class", "left")
     copies = vectors.where(F.size("v") > 0).select("class").join(heads.where("two is not null"), "class").select(F.col("class").alias("x"), F.col("class").alias("y"), F.lit(1.0).alias("sim"), F.col("one").alias("a"), F.col("two").alias("b"))
     for t in [*(x for x in LADDER if x > threshold), threshold]:
-        met = _pairs(vectors, t)
+        # Order and cap go by rounded similarity: a rung holds all pairs that round to t or more.
+        met = _pairs(vectors, t if t == threshold else t - 6e-5)
         h = lambda k, c: heads.select(F.col("class").alias(k), F.col("one").alias(f"{c}1"), F.col("two").alias(f"{c}2"))
         met = met.join(h("x", "p"), "x").join(h("y", "q"), "y")
         # The least pair of members in different documents.
@@ -84,8 +85,9 @@ def candidate_pairs(rows: DataFrame, threshold: float = 0.12, most: int = 80, st
         # least() skips nulls: an option with a missing member would name one twice, in one document.
         met = met.withColumn("least", F.array_min(options)).where("least is not null").select("x", "y", "sim", F.col("least.a").alias("a"), F.col("least.b").alias("b"))
         best = met.unionByName(copies).withColumn("similarity", round_half_up(F.col("sim"), 4)).orderBy(F.desc("similarity"), "a", "b").limit(most).cache()
-        if t == threshold or best.count() == most:
+        if t == threshold or best.where(F.col("similarity") >= t).count() == most:
             break
+        best.unpersist()
     # Members of the few classes left: at most ``most`` + 1 places of at most ``most`` + 1 documents.
     from pyspark.sql.window import Window
 

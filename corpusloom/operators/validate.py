@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from ..functions import frontmatter
 from ..functions.config import FIELDS, MAX_TOKENS, MIN_TOKENS
 from ..functions.text import EDGE, blocks, is_blank, split_before, trim, units
+from .backends import render_fixes
 
 # List lines, telephone numbers and addresses as the checks know them.
 BULLET = r"\A\s*(?:[-*+]\s+|\d+\.\s+)"
@@ -113,6 +114,24 @@ def route(fixes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return fixes.where("type = 'fix_frontmatter'"), fixes.where("type <> 'fix_frontmatter'")
 
 
+def fix_documents(docs: DataFrame, fixes: DataFrame, form: dict[str, Column], fix_rest: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs (doc_index, markdown) with its fixes made; adds ``state``. The frontmatter is rebuilt here
+    from ``form``, then ``fix_rest`` gets (doc_index, markdown, fix_list) of the documents with other
+    fixes and returns (doc_index, fixed); null means that the model failed. States: clean, local,
+    model, failed, and form (a frontmatter fix without a whole form: nothing is done)."""
+    here, rest = route(fixes)
+    whole = F.lit(True)
+    for f in FIELDS:
+        whole = whole & (F.coalesce(form[f].cast("string"), F.lit("")) != "")
+    d = docs.select("doc_index", "markdown").join(here.select("doc_index", F.lit(True).alias("here")).distinct(), "doc_index", "left")
+    d = d.withColumn("refused", F.coalesce(F.col("here") & ~whole, F.lit(False)))
+    d = d.withColumn("markdown", F.when(F.col("here") & ~F.col("refused"), frontmatter.replace(F.col("markdown"), frontmatter.build(*[form[f].cast("string") for f in FIELDS]))).otherwise(F.col("markdown")))
+    asked = d.where("not refused").join(render_fixes(rest), "doc_index").select("doc_index", "markdown", "fix_list")
+    d = d.join(fix_rest(asked).withColumn("asked", F.lit(True)), "doc_index", "left")
+    state = F.when(F.col("refused"), "form").when(F.col("asked") & F.col("fixed").isNull(), "failed").when(F.col("asked"), "model").when(F.col("here"), "local").otherwise("clean")
+    return d.select("doc_index", F.coalesce("fixed", "markdown").alias("markdown"), state.alias("state"))
+
+
 def visible(issues: DataFrame) -> DataFrame:
     """Issues shown beside a rewrite: errors, then warnings."""
     return issues.where("severity <> 'info'").withColumn("rank", F.when(F.col("severity") == "error", 0).otherwise(1))

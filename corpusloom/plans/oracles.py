@@ -252,8 +252,7 @@ def replaced(md: str, old: str, new: str) -> str:
     return f"CASE WHEN {old} <> '' AND contains({md}, {old}) THEN substr({md}, 1, instr({md}, {old}) - 1) || {new} || substr({md}, instr({md}, {old}) + length({old})) ELSE {md} END"
 
 
-_QUIET = lambda x, n: f"regexp_replace(substr({x}, 1, {n}), '[\\\\\"\\x00-\\x1f]', ' ', 'g')"
-_QUIET_WHOLE = "regexp_replace(text, '[\\\\\"\\x00-\\x1f]', ' ', 'g')"
+_QUIET = "regexp_replace(text, '[\\\\\"\\x00-\\x1f]', ' ', 'g')"
 VERDICTS = """j2 AS (SELECT *, CASE WHEN o % 7 = 0 THEN 'maybe' WHEN similarity >= 0.9 THEN 'duplicate' WHEN similarity >= 0.5 THEN 'overlap' ELSE 'distinct' END AS verdict,
   CASE o % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'neither' END AS dominant, CASE o % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 ELSE similarity END AS said FROM judged)"""
 HTML = "coalesce(html, '')"
@@ -332,20 +331,15 @@ SELECT batch_no, count(*) AS pairs, md5(string_agg(t, chr(10) || chr(10) ORDER B
     "verdict_enrich": f"WITH {PAIRS}, {VERDICTS} SELECT pair_id, verdict, o AS original_order, similarity, dominant <> 'neither' AS offer_delete FROM j2 WHERE verdict IN ('duplicate', 'overlap')",
     "fix_all_layering": f"""WITH {PAIRS}, cl AS (SELECT o, a_doc AS d, a_sec AS s FROM judged UNION ALL SELECT o, b_doc, b_sec FROM judged), f AS (SELECT o, min(o) OVER (PARTITION BY d, s) AS m FROM cl), ok AS (SELECT o, bool_and(o = m) AS accepted FROM f GROUP BY o)
 SELECT pair_id, o AS original_order, accepted FROM judged JOIN ok USING (o)""",
-    "rewrite_parse": f"""WITH b AS (SELECT item_id, trim({_QUIET('text', 60)}) AS t FROM benchmark) SELECT item_id, CASE WHEN item_id % 2 = 0 THEN t ELSE 'A' END AS section_a, CASE WHEN item_id % 2 = 0 THEN 'B' ELSE t END AS section_b FROM b""",
-    "questions_parse": f"""WITH b AS (SELECT item_id, {_QUIET('text', 60)} AS t FROM benchmark) SELECT item_id, concat_ws(' | ', nullif(t, ''), 'Why ' || item_id || '?') AS questions FROM b""",
     "fence_strip": "SELECT item_id, md5(" + trim(collapse("regexp_replace(" + FENCED + ", '(?m)^[ \\t]*```\\w*[ \\t]*$', '', 'g')")) + " || chr(10)) AS md5 FROM benchmark",
     "section_clamp": f"SELECT doc_id, length({clamp('text')}) AS chars, md5({clamp('text')}) AS md5 FROM documents",
     "standardize_render": "SELECT doc_id, md5(CASE WHEN doc_id % 3 > 0 AND source <> '' AND lang <> '' AND text <> '' THEN 'Rewrite the notes below as a knowledge document with frontmatter.' || chr(10) || 'Department: ' || source || chr(10) || 'Topic: ' || lang || chr(10) || 'Course: ' || doc_id || ' Course' || chr(10) || chr(10) || text END) AS md5 FROM documents",
     "standardize_stub": f"SELECT doc_id, md5({trim(collapse(q('Rewrite the notes below as a knowledge document with frontmatter.') + ' || chr(10) || ' + q('Department: ') + ' || source || chr(10) || ' + q('Topic: ') + ' || lang || chr(10) || ' + q('Course: ') + ' || doc_id || ' + q(' Course') + ' || chr(10) || chr(10) || text'))} || chr(10)) AS md5 FROM documents",
-    "sse_decode": f"""WITH c AS (SELECT conv_id, turn, nullif({_QUIET('text', 40)}, '') AS w FROM conversations)
+    "rewrite_parse": f"""WITH b AS (SELECT item_id, trim({_QUIET}) AS t FROM benchmark) SELECT item_id, CASE WHEN item_id % 2 = 0 THEN t ELSE 'A' END AS section_a, CASE WHEN item_id % 2 = 0 THEN 'B' ELSE t END AS section_b FROM b""",
+    "questions_parse": f"""WITH b AS (SELECT item_id, {_QUIET} AS t FROM benchmark) SELECT item_id, concat_ws(' | ', nullif(t, ''), 'Why ' || item_id || '?') AS questions FROM b""",
+    "sse_decode": f"""WITH c AS (SELECT conv_id, turn, nullif({_QUIET}, '') AS w FROM conversations)
 SELECT conv_id AS stream_id, CAST(count(w) + count(*) FILTER (turn = 0) AS BIGINT) AS deltas, md5(coalesce(string_agg(w, '' ORDER BY turn), '')) AS md5 FROM c GROUP BY conv_id""",
-    "running_text": "SELECT conv_id AS stream_id, turn AS seq, md5(array_to_string(list(substr(text, 1, 50)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), '')) AS md5 FROM conversations",
-    "rewrite_parse_whole": f"""WITH b AS (SELECT item_id, trim({_QUIET_WHOLE}) AS t FROM benchmark) SELECT item_id, CASE WHEN item_id % 2 = 0 THEN t ELSE 'A' END AS section_a, CASE WHEN item_id % 2 = 0 THEN 'B' ELSE t END AS section_b FROM b""",
-    "questions_parse_whole": f"""WITH b AS (SELECT item_id, {_QUIET_WHOLE} AS t FROM benchmark) SELECT item_id, concat_ws(' | ', nullif(t, ''), 'Why ' || item_id || '?') AS questions FROM b""",
-    "sse_decode_whole": f"""WITH c AS (SELECT conv_id, turn, nullif({_QUIET_WHOLE}, '') AS w FROM conversations)
-SELECT conv_id AS stream_id, CAST(count(w) + count(*) FILTER (turn = 0) AS BIGINT) AS deltas, md5(coalesce(string_agg(w, '' ORDER BY turn), '')) AS md5 FROM c GROUP BY conv_id""",
-    "running_text_whole": "SELECT conv_id AS stream_id, turn AS seq, md5(array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), '')) AS md5 FROM conversations",
+    "running_text": "SELECT conv_id AS stream_id, turn AS seq, md5(array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), '')) AS md5 FROM conversations",
     "idle_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), b AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY ALL)
 SELECT user_id, count(*) AS bursts, CAST(sum(n) AS BIGINT) AS edits, max(n) AS longest FROM b GROUP BY user_id""",
@@ -373,3 +367,41 @@ b AS (SELECT *, regexp_extract(p, '^frontmatter\\.(\\w+)', 1) AS f, regexp_extra
 SELECT doc_index, ord, location, CAST(coalesce(CASE WHEN p IN ('', 'top') THEN 1 WHEN f <> '' THEN {_first("regexp_matches(x, '(?i)^\\s*' || f || '\\s*:')")}
  WHEN regexp_matches(p, '^#{{1,3}} ') THEN coalesce({_first(trim('x') + ' = p')}, {_first("regexp_matches(x, '^#{1,3}\\s') AND " + trim("regexp_replace(x, '^#{1,3}\\s+', '')") + ' = ' + trim('h'))})
  WHEN p = 'body' THEN {_first("regexp_matches(x, '^#\\s+')")} ELSE {_first('contains(x, p)')} END, 1) AS BIGINT) AS line FROM b"""
+
+
+# Nested WITH keeps the names of the first plan apart from those of the second.
+_FORM = "'---' || chr(10) || 'department: \"Global\"' || chr(10) || 'topic: \"Topic\"' || chr(10) || 'course_id: 0' || chr(10) || 'course_name: \"Course\"' || chr(10) || '---' || chr(10) || chr(10)"
+_REPLY = f"{trim(collapse(q('') + ' || local || chr(10) || chr(10) || ' + q('# Acme') + ' || chr(10) || chr(10) || ' + q('Acme.')))} || chr(10)"
+SQL["fix_apply"] = f"""WITH planned AS (WITH {PLAN} SELECT doc_index, bool_or(type = 'fix_frontmatter') AS here, bool_or(type <> 'fix_frontmatter') AS asked FROM plan GROUP BY doc_index),
+first_issues AS (WITH {ISSUES} SELECT doc_index, count(*) AS n FROM issues GROUP BY doc_index),
+x0 AS (WITH {MD} SELECT m.doc_index, doc_name, markdown, coalesce(here, false) AS here, coalesce(asked, false) AS asked, {ltrim('markdown')} AS l FROM md_docs m LEFT JOIN planned USING (doc_index)),
+x1 AS (SELECT *, CASE WHEN starts_with(l, '---') THEN instr(substr(l, 4), chr(10) || '---') ELSE 0 END AS c FROM x0), x2 AS (SELECT *, substr(l, c + 7) AS rest FROM x1),
+x3 AS (SELECT *, CASE WHEN here THEN {_FORM} || CASE WHEN c > 0 THEN CASE WHEN contains(rest, chr(10)) THEN {ltrim('substr(rest, instr(rest, chr(10)) + 1)')} ELSE '' END ELSE l END ELSE markdown END AS local FROM x2),
+fixed AS (SELECT doc_index, doc_name, here, asked, CASE WHEN asked THEN {_REPLY} ELSE local END AS markdown FROM x3),
+after_issues AS (WITH {ISSUES.replace(MD, "md_docs AS (SELECT doc_index, doc_name, markdown FROM fixed)", 1)} SELECT doc_index, count(*) AS n FROM issues GROUP BY doc_index)
+SELECT f.doc_index, CASE WHEN asked THEN 'model' WHEN here THEN 'local' ELSE 'clean' END AS state, md5(markdown) AS md5, coalesce(b.n, 0) AS before, coalesce(a.n, 0) AS after
+FROM fixed f LEFT JOIN first_issues b ON b.doc_index = f.doc_index LEFT JOIN after_issues a ON a.doc_index = f.doc_index"""
+_EDITS = f"""{H1}, sa AS (SELECT doc_index AS a_doc, CASE WHEN doc_index % 4 = 3 THEN text || ' gone' ELSE text END AS a_text FROM h1s WHERE section_index = 0), sb AS (SELECT doc_index AS b_doc, text AS b_text FROM h1s WHERE section_index = 1),
+ed AS (SELECT a_doc AS o, a_doc, b_doc, a_text, b_text, '# New A ' || a_doc || chr(10) || chr(10) || a_text AS new_a, '# New B ' || a_doc || chr(10) || chr(10) || b_text AS new_b, contains(x.markdown, a_text) AND contains(y.markdown, b_text) AS ok
+ FROM sa JOIN sb ON a_doc + 1 = b_doc JOIN md_docs x ON x.doc_index = a_doc JOIN md_docs y ON y.doc_index = b_doc)"""
+SQL["rewrite_commit"] = f"""WITH {_EDITS} SELECT o AS original_order, a_doc, b_doc, CASE WHEN ok THEN 'done' ELSE 'stale' END AS state FROM ed
+UNION ALL SELECT o + 1000000000, a_doc, b_doc, 'claimed' FROM ed WHERE o % 5 = 0"""
+SQL["rewrite_undo"] = f"""WITH {_EDITS}, done AS (SELECT * FROM ed WHERE ok),
+v0 AS (SELECT m.doc_index, m.markdown, b.b_text, b.new_b, a.a_text, a.new_a, b.o AS bo, a.o AS ao FROM md_docs m LEFT JOIN done b ON b.b_doc = m.doc_index LEFT JOIN done a ON a.a_doc = m.doc_index),
+s1 AS (SELECT *, CASE WHEN bo IS NULL THEN markdown ELSE {replaced("markdown", "b_text", "new_b")} END AS m0 FROM v0),
+s2 AS (SELECT *, CASE WHEN ao IS NULL THEN m0 ELSE {replaced('m0', 'a_text', 'new_a')} END AS m1 FROM s1),
+s3 AS (SELECT *, CASE WHEN ao % 3 = 0 THEN {replaced('m1', 'new_a', 'a_text')} ELSE m1 END AS m2 FROM s2),
+s4 AS (SELECT *, CASE WHEN bo % 3 = 0 THEN {replaced('m2', 'new_b', 'b_text')} ELSE m2 END AS m3 FROM s3)
+SELECT doc_index, 0 AS version, md5(markdown) AS md5 FROM md_docs UNION ALL SELECT doc_index, 1, md5(m1) FROM s2 WHERE ao IS NOT NULL OR bo IS NOT NULL
+UNION ALL SELECT doc_index, 2, md5(m3) FROM s4 WHERE ao % 3 = 0 OR bo % 3 = 0"""
+SQL["review_pairs"] = f"""WITH {_EDITS}, sides AS (SELECT o, o * 2 AS k, new_a AS text FROM ed WHERE ok UNION ALL SELECT o, o * 2 + 1, new_b FROM ed WHERE ok),
+sx AS (SELECT k, '' AS markdown, text AS body, true AS fm_present, 'x' AS department, 'x' AS topic, '1' AS course_id, 'x' AS course_name FROM sides), {issues('sx', 'k')}
+SELECT o AS original_order, {h1('new_a')} <> {h1('a_text')} AS a_changed, {h1('new_b')} <> {h1('b_text')} AS b_changed, EXISTS (SELECT 1 FROM issues i WHERE i.k // 2 = o AND severity <> 'info') AS badge FROM ed WHERE ok"""
+SQL["delete_report"] = f"""WITH {_EDITS} SELECT o AS original_order, CASE WHEN o % 2 = 0 THEN 'a' ELSE 'b' END AS deleted_side, CASE WHEN o % 2 = 0 THEN {h1('a_text')} ELSE {h1('b_text')} END AS deleted_heading,
+ CASE WHEN o % 2 = 0 THEN {h1('b_text')} ELSE {h1('a_text')} END AS kept_heading FROM ed"""
+SQL["verdict_lists"] = f"WITH {PAIRS}, {VERDICTS} SELECT verdict, string_agg(pair_id, ',' ORDER BY o) AS pairs FROM j2 WHERE verdict IN ('duplicate', 'overlap') GROUP BY verdict"
+# Asked at 0, 2, ... 118 seconds: sixty times at most.
+SQL["parse_poll"] = """WITH p AS (SELECT page_id, page_id % 75 AS pending, CASE WHEN page_id % 75 >= 60 THEN 'TIMED_OUT' WHEN page_id % 11 = 0 THEN 'CANCELED' WHEN page_id % 7 = 0 THEN 'ERROR' ELSE 'SUCCESS' END AS state FROM pages)
+SELECT page_id, state, least(pending + 1, 60) AS polls, CASE WHEN state = 'SUCCESS' THEN CASE WHEN page_id % 2 = 0 THEN '# ' ELSE 'page ' END || page_id END AS parsed FROM p"""
+SQL["sheet_stats"] = f"""WITH c AS (SELECT printf('s%02d', conv_id % 40) AS sheet, conv_id, bool_or(conv_id % 40 % 7 <> 3 AND {trim("coalesce(text, '')")} <> '') AS used FROM conversations GROUP BY ALL),
+s AS (SELECT sheet, count(*) FILTER (used) AS n FROM c GROUP BY sheet) SELECT count(*) AS original_sheets, CAST(sum(n) AS BIGINT) AS kept_chunks, coalesce(string_agg(sheet, ',' ORDER BY sheet) FILTER (n = 0), '') AS dropped_sheets FROM s"""

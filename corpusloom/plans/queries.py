@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,7 +10,7 @@ from ..functions import frontmatter, text as T
 from ..functions.config import FIELDS, STOP_WORDS
 from ..functions.tokens import bpe_counter
 from ..operators import backends, chunking, edits, neardup, noise, retrieve, suggest, validate
-from ..sources import corpus
+from ..sources import corpus, jobs
 from ..streaming import sse
 from .session import ready
 
@@ -319,14 +317,9 @@ def fix_all_layering(spark, sf_dir):
     return _long(edits.admissible(_judged(spark, sf_dir)).select("pair_id", "original_order", "accepted"))
 
 
-def _first(c: str, most: int | None):
-    """The first characters of a column; None for the whole."""
-    return F.col(c) if most is None else F.substring(c, 1, most)
-
-
-def _replies(spark, sf_dir, most=60):
+def _replies(spark, sf_dir):
     """Every benchmark text as a model's reply, fenced and framed in several ways."""
-    b = _t(spark, sf_dir, "benchmark").withColumn("q", F.regexp_replace(_first("text", most), r'[\\"\x00-\x1f]', " "))
+    b = _t(spark, sf_dir, "benchmark").withColumn("q", F.regexp_replace("text", r'[\\"\x00-\x1f]', " "))
     i, q = F.col("item_id"), F.col("q")
     body = F.when(i % 2 == 0, F.concat(F.lit('{"section_a": " '), q, F.lit('", "section_b": "B"}'))).otherwise(F.concat(F.lit('{"section_a": "A", "section_b": "'), q, F.lit('"}')))
     reply = F.when(i % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(i % 3 == 1, F.concat(F.lit("Here it is: "), body, F.lit(" - done."))).otherwise(body)
@@ -334,13 +327,13 @@ def _replies(spark, sf_dir, most=60):
     return b.select("item_id", "text", reply.alias("reply"), F.when(i % 2 == 0, F.concat(F.lit("```\n"), asked, F.lit("\n```"))).otherwise(F.concat(F.lit("Questions: "), asked)).alias("asked"))
 
 
-def rewrite_parse(spark, sf_dir, most=60):
+def rewrite_parse(spark, sf_dir):
     r = backends.read_rewrite(F.col("reply"))
-    return _replies(spark, sf_dir, most).select("item_id", r["section_a"].alias("section_a"), r["section_b"].alias("section_b"))
+    return _replies(spark, sf_dir).select("item_id", r["section_a"].alias("section_a"), r["section_b"].alias("section_b"))
 
 
-def questions_parse(spark, sf_dir, most=60):
-    return _replies(spark, sf_dir, most).select("item_id", F.array_join(backends.read_questions(F.col("asked")), " | ").alias("questions"))
+def questions_parse(spark, sf_dir):
+    return _replies(spark, sf_dir).select("item_id", F.array_join(backends.read_questions(F.col("asked")), " | ").alias("questions"))
 
 
 def fence_strip(spark, sf_dir):
@@ -365,21 +358,21 @@ def standardize_stub(spark, sf_dir):
     return done.select("doc_id", F.md5(backends.standardized(F.col("reply"))).alias("md5"))
 
 
-def _sse(spark, sf_dir, most):
+def _sse(spark, sf_dir):
     """Conversations as event streams, each turn a chunk that ends within the next one's line."""
     c = _t(spark, sf_dir, "conversations")
-    word = F.regexp_replace(_first("text", most), r'[\\"\x00-\x1f]', " ")
+    word = F.regexp_replace("text", r'[\\"\x00-\x1f]', " ")
     event = lambda x: F.concat(F.lit('data: {"choices":[{"delta":{"content":"'), x, F.lit('"}}]}\n'))
     chunk = F.concat(F.when(F.col("turn") == 0, event(F.lit("```md\\n"))).otherwise(F.lit("data: oops\n\n")), event(word), F.lit(": note\n"))
     return c.select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), chunk.alias("chunk"))
 
 
-def sse_decode(spark, sf_dir, most=40):
-    return _long(sse.decode(_sse(spark, sf_dir, most)).select("stream_id", "deltas", F.md5("text").alias("md5")))
+def sse_decode(spark, sf_dir):
+    return _long(sse.decode(_sse(spark, sf_dir)).select("stream_id", "deltas", F.md5("text").alias("md5")))
 
 
-def running_text(spark, sf_dir, most=50):
-    d = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), _first("text", most).alias("delta"))
+def running_text(spark, sf_dir):
+    d = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.col("text").alias("delta"))
     return _long(sse.running_text(d).select("stream_id", "seq", F.md5("text").alias("md5")))
 
 
@@ -444,16 +437,99 @@ def review_flags(spark, sf_dir):
     return _long(d.join(badge, "doc_index", "left").select("doc_index", (T.first_h1(F.col("new")) != F.col("heading")).alias("heading_changed"), F.coalesce("badge", F.lit(False)).alias("badge")))
 
 
-def pair_rewrite(spark, sf_dir):
-    """Sections 0 and 1 of neighbouring documents rewritten together; every fourth is stale."""
+def _neighbour_edits(spark, sf_dir):
+    """Section 0 of each document with section 1 of the next; every fourth is stale."""
     s = neardup.sections(_parsed(spark, sf_dir)).select("doc_index", "section_index", "text")
     a = s.where("section_index = 0").select(F.col("doc_index").alias("a_doc"), F.when(F.col("doc_index") % 4 == 3, F.concat(F.col("text"), F.lit(" gone"))).otherwise(F.col("text")).alias("a_text"))
     b = s.where("section_index = 1").select(F.col("doc_index").alias("b_doc"), F.col("text").alias("b_text"))
-    e = a.join(b, F.col("a_doc") + 1 == F.col("b_doc")).select(F.col("a_doc").alias("original_order"), "a_doc", "a_text", F.lit("# A").alias("new_a"), "b_doc", "b_text", F.lit("# B").alias("new_b"))
+    return a.join(b, F.col("a_doc") + 1 == F.col("b_doc")).select(F.col("a_doc").alias("original_order"), "a_doc", "a_text", F.lit("# A").alias("new_a"), "b_doc", "b_text", F.lit("# B").alias("new_b"))
+
+def pair_rewrite(spark, sf_dir):
+    """The neighbours' sections rewritten together, each edit by itself."""
+    e = _neighbour_edits(spark, sf_dir)
     out = edits.rewrite_pairs(corpus.compose(spark, sf_dir).select("doc_index", "markdown"), e)
     return _long(out.select("original_order", "ok", F.md5("a_new").alias("a_md5"), F.md5("b_new").alias("b_md5")))
 
 
+def _numbered_edits(spark, sf_dir):
+    """The neighbours' edits with new sections of their own; every fifth claims the sections of the one before."""
+    e = _neighbour_edits(spark, sf_dir)
+    section = lambda c: F.concat(F.lit(f"# New {c.upper()} "), F.col("original_order").cast("string"), F.lit("\n\n"), F.col(f"{c}_text"))
+    e = e.withColumn("new_a", section("a")).withColumn("new_b", section("b")).withColumn("a_sec", F.lit(0)).withColumn("b_sec", F.lit(1))
+    again = e.where("original_order % 5 = 0").withColumn("original_order", F.col("original_order") + 1_000_000_000)
+    return e.unionByName(again)
+
+
+def _committed(spark, sf_dir):
+    return edits.commit(corpus.compose(spark, sf_dir).select("doc_index", "markdown"), _numbered_edits(spark, sf_dir))
+
+
+def _versions(history):
+    return _long(history.select("doc_index", "version", F.md5("markdown").alias("md5")))
+
+
+def rewrite_commit(spark, sf_dir):
+    """The report of all edits."""
+    return _long(_committed(spark, sf_dir)[1].select("original_order", "a_doc", "b_doc", "state"))
+
+
+def rewrite_undo(spark, sf_dir):
+    """All versions: as loaded, after the edits, and after every third edit is undone."""
+    history, report = _committed(spark, sf_dir)
+    return _versions(edits.revert(history, report.where("state = 'done' and original_order % 3 = 0")))
+
+
+def review_pairs(spark, sf_dir):
+    """Both sides of the done edits: heading changed, and the badge of either side's new section."""
+    done = _committed(spark, sf_dir)[1].where("state = 'done'")
+    sides = done.select("original_order", F.explode(F.array("new_a", "new_b")).alias("text"))
+    warned = validate.validate_section(sides.select("original_order", F.monotonically_increasing_id().alias("side"), "text"), entity=ENTITY, keys=("original_order", "side")).where("severity <> 'info'").select("original_order").distinct().withColumn("badge", F.lit(True))
+    changed = lambda c: T.first_h1(F.col(f"new_{c}")) != T.first_h1(F.col(f"{c}_text"))
+    return _long(done.join(warned, "original_order", "left").select("original_order", changed("a").alias("a_changed"), changed("b").alias("b_changed"), F.coalesce("badge", F.lit(False)).alias("badge")))
+
+
+def delete_report(spark, sf_dir):
+    side = F.when(F.col("original_order") % 2 == 0, "a").otherwise("b")
+    return _long(edits.report_deletions(_neighbour_edits(spark, sf_dir), side).select("original_order", "deleted_side", "deleted_heading", "kept_heading"))
+
+
+def fix_apply(spark, sf_dir):
+    """Every document's fixes made, here or by a stub model, and the issues before and after."""
+    docs = corpus.compose(spark, sf_dir).select("doc_index", "markdown")
+    issues = validate.validate(docs, entity=ENTITY)
+    form = dict(zip(FIELDS, (F.lit("Global"), F.lit("Topic"), F.lit("0"), F.lit("Course"))))
+
+    def model(asked):
+        done = backends.call(asked, "markdown", lambda prompts: [f"```markdown\n{x}\n\n# Acme\n\nAcme.\n```" for x in prompts])
+        return done.select("doc_index", backends.standardized(F.col("reply")).alias("fixed"))
+
+    fixed = validate.fix_documents(docs, validate.fix_plan(issues), form, model)
+    count = lambda x, name: x.groupBy("doc_index").agg(F.count(F.lit(1)).alias(name))
+    out = fixed.join(count(issues, "before"), "doc_index", "left").join(count(validate.validate(fixed.select("doc_index", "markdown"), entity=ENTITY), "after"), "doc_index", "left")
+    return _long(out.select("doc_index", "state", F.md5("markdown").alias("md5"), F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after")))
+
+
+def verdict_lists(spark, sf_dir):
+    p = _verdicts(spark, sf_dir)
+    lists = backends.verdict_lists(backends.enrich_verdicts(backends.read_verdicts(p).drop("similarity"), p.select("pair_id", "original_order")))
+    rows = [x.groupBy("verdict").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("original_order", "pair_id"))), lambda z: z["pair_id"]), ",").alias("pairs")) for x in lists]
+    return rows[0].unionByName(rows[1])
+
+
+def parse_poll(spark, sf_dir):
+    """Pages as uploads to a scripted parser, polled in simulated time."""
+    pages = _t(spark, sf_dir, "pages").select("page_id")
+    parser = lambda: jobs.ScriptedParser(pending=lambda k: int(k) % 75, ends=lambda k: "CANCELED" if int(k) % 11 == 0 else "ERROR" if int(k) % 7 == 0 else "SUCCESS", content=lambda k: (None if int(k) % 2 else f"# {k}", f"page {k}"))
+    done = jobs.parse_files(pages, "page_id", parser, clock=jobs.Simulated)
+    return _long(done.select(F.col("key").cast("long").alias("page_id"), "state", "polls", F.coalesce("markdown", "text").alias("parsed")))
+
+
+def sheet_stats(spark, sf_dir):
+    """Conversations as clusters of forty sheets, the texts of some sheets blank."""
+    c = _t(spark, sf_dir, "conversations").withColumn("sheet", F.format_string("s%02d", F.col("conv_id") % 40)).withColumn("text", F.when(F.col("conv_id") % 40 % 7 == 3, " \n ").otherwise(F.col("text")))
+    return _long(corpus.sheet_stats(c, "sheet", "conv_id", "text").withColumn("dropped_sheets", F.array_join("dropped_sheets", ",")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -462,9 +538,8 @@ QUERIES = {
         insert_term, apply_term, tfidf_weights, candidate_pairs, pair_bands, shared_tokens, highlight_segments, section_replace, section_delete, section_undo, docset_upsert, judge_batches, judge_render,
         verdict_normalize, verdict_enrich, fix_all_layering, rewrite_parse, questions_parse, fence_strip, section_clamp, standardize_render, standardize_stub, sse_decode, running_text, idle_sessions,
         html_to_md, conv_to_md, parse_pipeline, file_gate, scan_counts, first_headings, term_presence, significant_words, review_flags, pair_rewrite,
+        parse_poll, sheet_stats, verdict_lists, fix_apply, rewrite_commit, rewrite_undo, review_pairs, delete_report,
     )
-} | {
-    f"{f.__name__}_whole": partial(f, most=None) for f in (rewrite_parse, questions_parse, sse_decode, running_text)
 } | {
     "issues_all": _issue_query(),
     "issues_frontmatter": _issue_query("frontmatter", "structure"),

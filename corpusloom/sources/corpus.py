@@ -113,6 +113,14 @@ def clusters_to_markdown(rows: DataFrame, cluster: str, order: str, speaker: str
     return out.select("cluster", F.concat(F.lit("# "), F.col("cluster").cast("string"), F.lit("\n\n"), body, F.lit("\n")).alias("markdown"), "n_rows")
 
 
+def sheet_stats(rows: DataFrame, sheet: str, cluster: str, text: str) -> DataFrame:
+    """One row for the whole source: original_sheets, kept_chunks (clusters with a text that is not
+    blank), dropped_sheets (names of the sheets without any, sorted). Names of sheets are few."""
+    used = rows.groupBy(F.col(sheet).alias("sheet"), F.col(cluster).alias("cluster")).agg(F.bool_or(trim(F.coalesce(F.col(text), F.lit(""))) != "").alias("used"))
+    per = used.groupBy("sheet").agg(F.count_if("used").alias("chunks"))
+    return per.agg(F.count(F.lit(1)).alias("original_sheets"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("kept_chunks"), F.sort_array(F.collect_list(F.when(F.col("chunks") == 0, F.col("sheet").cast("string")))).alias("dropped_sheets"))
+
+
 def parse_result(status: DataFrame) -> DataFrame:
     """status: (job_id, state, markdown, text). Rows of finished jobs with their markdown."""
     return status.where("state = 'SUCCESS'").select("job_id", F.coalesce("markdown", "text", F.lit("")).alias("markdown"))
