@@ -96,9 +96,11 @@ def enrich_verdicts(verdicts: DataFrame, candidates: DataFrame) -> DataFrame:
     return kept.withColumn("offer_delete", F.col("dominant").isin("a", "b"))
 
 
-def verdict_lists(enriched: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The list of duplicates and that of overlaps."""
-    return enriched.where("verdict = 'duplicate'"), enriched.where("verdict = 'overlap'")
+def verdict_lists(enriched: DataFrame) -> DataFrame:
+    """(verdict, pairs): the list of duplicates and that of overlaps, by original_order. Pairs are
+    capped where they are made, so a list is small."""
+    ordered = F.sort_array(F.collect_list(F.struct("original_order", "pair_id")))
+    return enriched.groupBy("verdict").agg(F.transform(ordered, lambda x: x["pair_id"]).alias("pairs"))
 
 
 def read_rewrite(reply: Column) -> Column:

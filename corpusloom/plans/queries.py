@@ -512,8 +512,7 @@ def fix_apply(spark, sf_dir):
 def verdict_lists(spark, sf_dir):
     p = _verdicts(spark, sf_dir)
     lists = backends.verdict_lists(backends.enrich_verdicts(backends.read_verdicts(p).drop("similarity"), p.select("pair_id", "original_order")))
-    rows = [x.groupBy("verdict").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("original_order", "pair_id"))), lambda z: z["pair_id"]), ",").alias("pairs")) for x in lists]
-    return rows[0].unionByName(rows[1])
+    return lists.withColumn("pairs", F.array_join("pairs", ","))
 
 
 def parse_poll(spark, sf_dir):
