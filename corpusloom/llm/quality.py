@@ -29,9 +29,12 @@ class Limits:
     """A line goes if more than max(docs, share * documents of the host) documents hold it;
     a document is rejected if more than ``lost`` of its words stood in such lines."""
 
-    docs: int = 30
+    docs: int = 8
     share: float = 0.01
     lost: float = 0.6
+    #: Whether exact copies of a text count as so many documents. Once each by default: else the lines of
+    #: a large group of copies would all go, and no copy be left.
+    each_copy: bool = False
     #: Lines above the limits, over all hosts, up to which they are broadcast.
     broadcast_lines: int = 200_000
 
@@ -52,7 +55,7 @@ def _hashed_lines(text: Column) -> Column:
 
 def frequent_lines(docs: DataFrame, text: str, host: str, limits: Limits) -> DataFrame:
     """(host, hashes): for each host the lines above the limits; hosts without any are absent."""
-    base = docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("content"), F.col(text).alias("body")).where(F.col("body").isNotNull())
+    base = docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), (F.monotonically_increasing_id() if limits.each_copy else F.xxhash64(text)).alias("content"), F.col(text).alias("body")).where(F.col("body").isNotNull())
     held = base.select("host", "content", F.explode(F.array_distinct(F.concat(_hashed_lines(F.col("body")), F.array(F.lit(0).cast("long"))))).alias("line"))
     # Line 0 is in every document: its count is the number of documents of the host.
     counts = held.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"))
@@ -137,7 +140,7 @@ n AS (SELECT *, lower(trim(regexp_replace(regexp_replace(line, '[\x20\x09-\x0D]+
   len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS nw FROM l),
 hosts AS (SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY host),
 above AS (SELECT n.host, norm FROM n JOIN hosts USING (host) WHERE nw > 0 GROUP BY n.host, norm, docs
-  HAVING count(DISTINCT n.t) > 30 AND count(DISTINCT n.t) > docs * 0.01),
+  HAVING count(DISTINCT n.t) > 8 AND count(DISTINCT n.t) > docs * 0.01),
 per AS (SELECT n.r, sum(nw) FILTER (a.norm IS NOT NULL) AS lost,
   count(*) FILTER (nw > 0) - count(DISTINCT line) FILTER (nw > 0) AS n_dup_lines
   FROM n LEFT JOIN above a ON a.host = n.host AND a.norm = n.norm AND nw > 0 GROUP BY n.r),
