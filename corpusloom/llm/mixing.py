@@ -8,7 +8,8 @@ and the prefix of one more, in the order of a hash of (seed, epoch, doc_id), up
 
 Leaf sums are pre-aggregated; the tree is one row for each leaf. A leaf's prefix is found without
 sorting the leaf: hashes are dealt to ``CELLS`` cells, sums by cell tell which are in, which are
-out, and the one cell that the budget cuts, and only documents of that cell are ordered.
+out, and the one cell that the budget cuts; that cell is dealt to ``CELLS`` cells again, and only
+documents of the one that is cut (one in ``CELLS ** 2`` of a leaf) are ordered.
 
 Defined cases: null domain, language or source is a branch named ''; a null text has no tokens
 and is taken in every whole epoch and never in a prefix; rows repeating a doc_id are taken each, ties
@@ -28,6 +29,8 @@ from .common import WHITE, materialize, table
 
 CELLS = 4096
 LEVELS = ("domain", "language", "leaf")
+#: Target weights of the registered query: shares of the domains; languages and sources go by power.
+TARGETS = (("domain", "domain0", 0.4), ("domain", "domain1", 0.3), ("domain", "domain2", 0.2), ("domain", "domain3", 0.1))
 
 
 @dataclass(frozen=True)
@@ -94,6 +97,15 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     return leaves.join(at.select(*keys, F.floor(F.round(F.col(f"budget{len(LEVELS)}"), 3)).alias("budget")), keys).select(*keys, "tokens", "budget")
 
 
+def _cut(dealt: DataFrame, cell: str) -> DataFrame:
+    """(levels, cut_<cell>, before): of each leaf the cell in which ``start`` and the tokens summed in
+    the order of cells pass ``rest``, and the sum before it; leaves that never pass are absent."""
+    sums = dealt.groupBy(*LEVELS, cell).agg(F.sum("tokens").alias("held"), F.first("rest").alias("rest"), F.first("start").alias("start"))
+    before = F.col("start") + F.coalesce(F.sum("held").over(Window.partitionBy(*LEVELS).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = sums.withColumn("before", before).where("before + held > rest").groupBy(*LEVELS).agg(F.min(F.struct(cell, "before")).alias("cut"))
+    return materialize(first.select(*LEVELS, F.col(f"cut.{cell}").alias(f"cut_{cell}"), F.col("cut.before").alias("before")), f"cut-{cell}s")
+
+
 def select(docs: DataFrame, mix: Mix = Mix(), domain: Column | None = None, language: str = "lang", source: str = "source", id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs that is taken: row (its columns), domain, language, leaf,
     tokens, epochs (whole ones), extra (1 if also in the last, partial one) and copies."""
@@ -114,18 +126,21 @@ def select(docs: DataFrame, mix: Mix = Mix(), domain: Column | None = None, lang
     small = plan.count() <= 100_000
     plan = F.broadcast(plan) if small else plan
     # The order of the partial epoch: its number is part of the hash.
-    dealt = rows.join(plan, list(LEVELS)).withColumn("h", F.xxhash64(F.lit(mix.seed), F.col("epochs"), F.col("h"))).withColumn("cell", F.shiftrightunsigned("h", 64 - CELLS.bit_length() + 1).cast("int"))
-    sums = dealt.where("rest > 0").groupBy(*LEVELS, "cell").agg(F.sum("tokens").alias("cell_tokens"), F.first("rest").alias("cell_rest"))
-    before = F.sum("cell_tokens").over(Window.partitionBy(*LEVELS).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
-    cut = materialize(sums.withColumn("before", F.coalesce(before, F.lit(0))).where("before + cell_tokens > cell_rest").groupBy(*LEVELS).agg(F.min(F.struct("cell", "before")).alias("cut")).select(*LEVELS, F.col("cut.cell").alias("cut_cell"), F.col("cut.before").alias("cut_before")), "cut-cells")
+    bits = CELLS.bit_length() - 1
+    dealt = rows.join(plan, list(LEVELS)).withColumn("h", F.xxhash64(F.lit(mix.seed), F.col("epochs"), F.col("h")))
+    dealt = dealt.withColumn("cell", F.shiftrightunsigned("h", 64 - bits).cast("int")).withColumn("sub", (F.shiftrightunsigned("h", 64 - 2 * bits) % CELLS).cast("int"))
+    cut = _cut(dealt.where("rest > 0").withColumn("start", F.lit(0).cast("long")), "cell")
+    cut = F.broadcast(cut) if small else cut
+    within = dealt.where("rest > 0").join(cut.withColumnRenamed("before", "start"), list(LEVELS)).where("cell = cut_cell")
+    cut = cut.drop("before").join(_cut(within, "sub"), list(LEVELS))
     cut = F.broadcast(cut) if small else cut
     dealt = dealt.join(cut, list(LEVELS), "left")
-    inside = (F.col("rest") > 0) & (F.col("cut_cell").isNull() | (F.col("cell") < F.col("cut_cell"))) & (F.col("tokens") > 0)
-    at_cut = (F.col("rest") > 0) & (F.col("cell") == F.col("cut_cell")) & (F.col("tokens") > 0)
+    inside = (F.col("rest") > 0) & (F.col("cut_cell").isNull() | (F.col("cell") < F.col("cut_cell")) | ((F.col("cell") == F.col("cut_cell")) & (F.col("sub") < F.col("cut_sub")))) & (F.col("tokens") > 0)
+    at_cut = (F.col("rest") > 0) & (F.col("cell") == F.col("cut_cell")) & (F.col("sub") == F.col("cut_sub")) & (F.col("tokens") > 0)
     shown = ["row", *LEVELS, "tokens", "epochs"]
     plain = dealt.where(~F.coalesce(at_cut, F.lit(False))).select(*shown, F.coalesce(inside, F.lit(False)).cast("int").alias("extra"))
     run = F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("h", "tie").rowsBetween(Window.unboundedPreceding, 0))
-    edge = dealt.where(at_cut).withColumn("run", run).select(*shown, (F.col("cut_before") + F.col("run") <= F.col("rest")).cast("int").alias("extra"))
+    edge = dealt.where(at_cut).withColumn("run", run).select(*shown, (F.col("before") + F.col("run") <= F.col("rest")).cast("int").alias("extra"))
     return plain.unionByName(edge).withColumn("copies", F.col("epochs") + F.col("extra")).where("copies > 0")
 
 
@@ -136,5 +151,5 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), **names) -> DataFrame:
 
 
 def op5_hierarchical_mix(spark, sf_dir: str) -> DataFrame:
-    taken = select(table(spark, sf_dir, "documents"))
+    taken = select(table(spark, sf_dir, "documents"), Mix(weights=TARGETS))
     return taken.select(F.col("row.doc_id").alias("doc_id"), *LEVELS, "tokens", "epochs", "extra", "copies")

@@ -88,6 +88,38 @@ def test_op1_removes_frequent_lines(spark):
     assert all(r["text"] == body(r["doc_id"]) for r in out)
 
 
+def test_op1_query_removes_and_rejects(spark, tmp_path):
+    """The registered query against its SQL: lines go from 9 documents on, a depleted document is rejected."""
+    import duckdb
+
+    word = lambda i, k: "".join(chr(97 + int(c)) for c in f"{i}{k:02d}")  # noqa: E731  numbers count as equal
+    body = lambda i, n: " ".join(word(i, k) for k in range(n))
+    common = "\n".join(f"{body(90 + j, 20)} page 7" for j in range(4))
+    rows = [(i, f"{common}\n{body(i + 10, 200)}", "en", "a") for i in range(8)] + [(8, f"{common}\n{body(50, 15)}", "en", "a")] + [(20 + i, f"{common}\n{body(30 + i, 200)}", "en", "b") for i in range(8)]
+    rows += [(60, None, None, None), (61, "", "en", "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r.asDict() for r in quality.op1_line_frequency(spark, str(tmp_path)).collect()}
+    assert got[8]["lost_words"] == 88 and not got[8]["base_failed"] and not got[8]["kept"]
+    assert all(got[i]["lost_words"] == 88 and got[i]["kept"] for i in range(8))
+    # Eight documents of the other host hold the lines: not above the limit.
+    assert all(got[20 + i]["lost_words"] == 0 and got[20 + i]["kept"] for i in range(8))
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    rel = c.sql(quality.SQL_OP1)
+    assert {r[0]: dict(zip(rel.columns, r)) for r in rel.fetchall()} == got
+
+
+def test_op1_query_fires_on_the_tables(spark):
+    assert quality.op1_line_frequency(spark, "/root/testdata/sf0.01").where("lost_words > 0").count() > 0
+
+
+def test_op1_copies_count_once_or_each(spark):
+    rows = [(i, "\n".join(f"{w} line of the text" for w in ("one", "two", "three")), "en", "s") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert quality.judge(df).where("lost_words > 0").count() == 0
+    assert quality.judge(df, limits=quality.Limits(each_copy=True)).where("lost_words > 0").count() == 12
+
+
 def test_op2_plain_spans_equal_regexes(texts):
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -263,6 +295,27 @@ def test_op5_prefixes(spark, documents, monkeypatch):
     assert {r["row"]["doc_id"] for r in taken} == want
 
 
+def test_op5_query_reaches_its_targets(spark):
+    """Domains get their target shares, or all that they hold over the epochs."""
+    rows = mixing.op5_hierarchical_mix(spark, SF).collect()
+    leaves = spark.read.parquet(f"{SF}/documents.parquet").select(mixing.domain_of(F.col("source")).alias("domain"), mixing.tokens_of(F.col("text")).alias("n")).groupBy("domain").agg(F.sum("n").alias("n")).collect()
+    held, target = {r["domain"]: r["n"] for r in leaves}, {name: w for _, name, w in mixing.TARGETS}
+    budget, want, open_ = float(sum(held.values())), {}, set(held)
+    while open_:
+        weight = sum(target[d] for d in open_)
+        full = {d for d in open_ if 2 * held[d] <= budget * target[d] / weight}
+        want |= {d: 2.0 * held[d] if full else budget * target[d] / weight for d in full or open_}
+        budget -= sum(want[d] for d in full)
+        open_ = open_ - full if full else set()
+    got = collections.Counter()
+    for r in rows:
+        got[r["domain"]] += r["tokens"] * r["copies"]
+    longest = max(r["tokens"] for r in rows)
+    leaf_count = len({(r["domain"], r["language"], r["leaf"]) for r in rows})
+    assert all(want[d] - longest * leaf_count <= got[d] <= want[d] + 1 for d in held)
+    assert any(abs(got[d] - held[d]) > 0.05 * held[d] for d in held)
+
+
 def test_op6_round_trip(documents, texts):
     from tokenizers import Tokenizer
 
@@ -506,6 +559,40 @@ def test_op10_recall(spark):
     assert tied == list(range(1000, 1020))
 
 
+def test_op10_query_recall_on_the_tables(spark):
+    for sf in ("sf0.01", "sf0.1"):
+        rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+        ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
+        found = collections.defaultdict(list)
+        for r in ann.op10_ivfpq(spark, f"/root/testdata/{sf}").collect():
+            found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+        assert set(found) == {int(i) for i in ids if i % 20 == 0}
+        hit = 0
+        for q, have in found.items():
+            s = x @ x[np.flatnonzero(ids == q)[0]]
+            s[ids == q] = -np.inf
+            hit += len({v for _, v, _ in have} & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+            assert [r for r, _, _ in sorted(have)] == list(range(1, 21))
+        assert hit / (20 * len(found)) >= 0.9
+
+
+def test_op4_and_op7_queries_held_out(spark):
+    """Figures on the rows that the models did not learn from."""
+    sf = "/root/testdata/sf0.01"
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    held = [(r["lang_pred"], lang[r["doc_id"]]) for r in langid.op4_viterbi_langid(spark, sf).collect() if r["held_out"] and lang[r["doc_id"]]]
+    assert sum(a == b for a, b in held) / len(held) >= 0.97
+    # The smaller table has only 14 toxic rows to hold out, of which 10 are found.
+    sf = "/root/testdata/sf0.1"
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = toxicity.op7_segment_toxicity(spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count() and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+    judged = [(r["predicted"], toxic[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in toxic]
+    both = sum(p and y for p, y in judged)
+    print("toxic: held out, predicted, true, both", len(judged), sum(p for p, _ in judged), sum(y for _, y in judged), both)
+    assert both / max(1, sum(p for p, _ in judged)) >= 0.9 and both / max(1, sum(y for _, y in judged)) >= 0.9
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark):
     """The rows of the packed sequences are those of the documents that each stage keeps."""
     import corpus_pipeline
