@@ -10,7 +10,7 @@ from .config import FIELDS
 from .text import ltrim, text_or_empty, trim
 
 #: A flat line: a key, then nothing, a quoted string, or a bare value.
-FLAT = r"""\A[A-Za-z_]\w*:(?:[ \t]+(?:"[^"]*"|'[^']*'|[^"'\s][^\n]*)?)?[ \t]*\z"""
+FLAT = r"""\A[A-Za-z_]\w*:(?:[ \t]+(?:"[^"]*"|'[^']*'|[^"'\s\[{][^\n]*)?)?[ \t]*\z"""
 
 
 def parse(df: DataFrame, markdown: str = "markdown", general: bool = True) -> DataFrame:
