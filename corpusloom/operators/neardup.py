@@ -2,14 +2,17 @@
 
 The naive self-join of all postings grows with the square of every word's frequency. Here equal
 texts are collapsed to classes, and two classes can only reach a similarity t if they share a word
-of their prefixes: words by rarity, cut where the rest has a norm below t. The cap on pairs lets t
-start high: if enough pairs reach it, no lower one can be among the best; else t is lowered.
+of their prefixes: words by rarity, cut where the rest has a norm below t. Pairs that met are bounded
+from above before the whole vectors are compared: words up to the last one shared count as they are,
+the rest by the norms left of both. The cap on pairs lets t start high: if enough pairs reach it, no
+lower one can be among the best; else t is lowered.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.config import STOP_WORDS
 from ..functions.text import blocks, first_h1, round_half_up, significant_words, units
@@ -45,16 +48,25 @@ def _vectors(rows: DataFrame, stop: list[str]) -> DataFrame:
     tf = classes.select("class", "copies", F.explode(significant_words(F.col("text"), stop)).alias("term")).groupBy("class", "copies", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.sum("copies").alias("df"))
     w = tf.join(df, "term").withColumn("n", F.lit(rows.count())).select("class", "term", "df", (F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("w"))
-    v = w.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "term", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return v.select("class", F.transform("v", lambda x: F.struct(x["df"].alias("df"), x["term"].alias("term"), (x["w"] / F.col("norm")).alias("u"))).alias("v"))
+    unit = F.sqrt(F.sum(F.col("w") * F.col("w")))
+    v = w.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "term", "w"))).alias("v"), unit.alias("norm"), (F.max("w") / unit).alias("top"), (F.sum("w") / unit).alias("total"))
+    return v.select("class", F.size("v").alias("n"), "top", "total", F.transform("v", lambda x: F.struct(x["df"].alias("df"), x["term"].alias("term"), (x["w"] / F.col("norm")).alias("u"))).alias("v"))
 
 
 def _pairs(vectors: DataFrame, t: float) -> DataFrame:
-    """(x, y, sim) of different classes, x < y, with cosine of at least t."""
+    """(x, y, sim) of different classes with cosine of at least t; x has no more words than y."""
     # Drop words from the frequent end while what is dropped has a norm below t.
     drop = F.aggregate(F.reverse("v"), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, x: F.when(a["on"] & (a["s"] + x["u"] * x["u"] < (t - 1e-9) ** 2), F.struct((a["s"] + x["u"] * x["u"]).alias("s"), (a["n"] + 1).alias("n"), F.lit(True).alias("on"))).otherwise(F.struct(a["s"].alias("s"), a["n"].alias("n"), F.lit(False).alias("on"))), lambda a: a["n"])
-    p = vectors.select("class", F.explode(F.slice("v", F.lit(1), F.greatest(F.size("v") - drop, F.lit(1)))).alias("p")).select("class", F.col("p.term").alias("term"))
-    met = p.select(F.col("class").alias("x"), "term").join(p.select(F.col("class").alias("y"), "term"), "term").where("x < y").select("x", "y").distinct()
+    p = vectors.select("class", "n", "top", "total", F.posexplode(F.slice("v", F.lit(1), F.greatest(F.size("v") - drop, F.lit(1)))).alias("k", "e"))
+    # Square of the norm of the words after this one; vectors are dealt by class already.
+    after = 1 - F.sum(F.col("e.u") * F.col("e.u")).over(Window.partitionBy("class").orderBy("k"))
+    p = p.withColumn("after", F.greatest(after, F.lit(0.0)))
+    side = lambda c: p.select(F.col("e.term").alias("term"), F.struct("n", "class").alias(c), F.col("e.u").alias(f"u_{c}"), F.col("after").alias(f"after_{c}"), F.col("top").alias(f"top_{c}"), F.col("total").alias(f"total_{c}"))
+    reach = (F.col("top_x") * F.col("total_y") >= t - 1e-9) & (F.col("top_y") * F.col("total_x") >= t - 1e-9)
+    met = side("x").join(side("y"), "term").where((F.col("x") < F.col("y")) & reach)
+    # What is shared up to the last word met is known; what follows is at most the product of the norms.
+    most = F.sum(F.col("u_x") * F.col("u_y")) + F.sqrt(F.min("after_x") * F.min("after_y"))
+    met = met.groupBy("x", "y").agg(most.alias("most")).where(F.col("most") >= t - 1e-9).select(F.col("x.class").alias("x"), F.col("y.class").alias("y"))
     a = vectors.select(F.col("class").alias("x"), F.explode("v").alias("e")).select("x", F.col("e.term").alias("term"), F.col("e.u").alias("ua"))
     b = vectors.select(F.col("class").alias("y"), F.explode("v").alias("e")).select("y", F.col("e.term").alias("term"), F.col("e.u").alias("ub"))
     return met.join(a, "x").join(b, ["y", "term"]).groupBy("x", "y").agg(F.sum(F.col("ua") * F.col("ub")).alias("sim")).where(F.col("sim") >= t)
@@ -84,13 +96,14 @@ def candidate_pairs(rows: DataFrame, threshold: float = 0.12, most: int = 80, st
         options = F.filter(F.array(*[F.struct(F.least(F.col(i), F.col(j)).alias("a"), F.greatest(F.col(i), F.col(j)).alias("b")) for i in ("p1", "p2") for j in ("q1", "q2")]), lambda z: z["a"].isNotNull() & z["b"].isNotNull() & (z["a"]["doc"] != z["b"]["doc"]))
         # least() skips nulls: an option with a missing member would name one twice, in one document.
         met = met.withColumn("least", F.array_min(options)).where("least is not null").select("x", "y", "sim", F.col("least.a").alias("a"), F.col("least.b").alias("b"))
-        best = met.unionByName(copies).withColumn("similarity", round_half_up(F.col("sim"), 4)).orderBy(F.desc("similarity"), "a", "b").limit(most).cache()
-        if t == threshold or best.where(F.col("similarity") >= t).count() == most:
+        best = met.unionByName(copies).withColumn("similarity", round_half_up(F.col("sim"), 4)).select("x", "y", "similarity", "a", "b").orderBy(F.desc("similarity"), "a", "b").limit(most)
+        # At most ``most`` rows.
+        found = best.collect()
+        if t == threshold or sum(r["similarity"] >= t for r in found) == most:
             break
-        best.unpersist()
+    best = rows.sparkSession.createDataFrame(found, best.schema)
+    vectors.unpersist()
     # Members of the few classes left: at most ``most`` + 1 places of at most ``most`` + 1 documents.
-    from pyspark.sql.window import Window
-
     few = own.join(F.broadcast(best.select(F.explode(F.array("x", "y")).alias("class")).distinct()), "class")
     few = few.withColumn("k", F.row_number().over(Window.partitionBy("class", "at.doc").orderBy("at"))).where(F.col("k") <= most + 1)
     few = few.withColumn("d", F.dense_rank().over(Window.partitionBy("class").orderBy("at.doc"))).where(F.col("d") <= most + 1)

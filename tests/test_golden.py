@@ -1,5 +1,8 @@
 """Small cases derived by hand, one for each rule that is easy to get wrong."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +107,23 @@ def test_candidate_pairs(spark):
     assert neardup.candidate_pairs(same.where("doc_index = 0")).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.05, 0.35, 0.95])
+def test_candidate_pairs_beside_brute_force(spark, threshold):
+    rng = random.Random(7)
+    words = [f"word{chr(97 + k)}" for k in range(26)]
+    texts = [" ".join(rng.choices(words, [1 / (k + 1) for k in range(26)], k=rng.choice([1, 4, 12, 60]))) for _ in range(60)]
+    texts += [texts[30], texts[31] + " wordz"]
+    rows = spark.createDataFrame([(k, 0, x) for k, x in enumerate(texts)], "doc_index int, section_index int, text string")
+    vectors = {}
+    for r in neardup.weights(rows, ["doc_index"]).collect():
+        vectors.setdefault(r["doc_index"], {})[r["term"]] = r["w"]
+    norm = {k: math.sqrt(sum(w * w for w in v.values())) for k, v in vectors.items()}
+    cosine = {(a, b): sum(w * vectors[b].get(x, 0) for x, w in vectors[a].items()) / norm[a] / norm[b] for a in vectors for b in vectors if a < b}
+    got = {(r["a_doc"], r["b_doc"]): r["similarity"] for r in neardup.candidate_pairs(rows, threshold, 5_000).collect()}
+    assert set(got) == {k for k, v in cosine.items() if v >= threshold}
+    assert all(abs(v - cosine[k]) < 6e-5 for k, v in got.items())
+
+
 def test_delete_and_replace(spark):
     md = "A\n\n# X\nx\n\n# Y\ny\n"
     assert one(spark, md, lambda c: edits.delete_section(c, F.lit("# X\nx"))) == "A\n\n# Y\ny\n"
