@@ -73,13 +73,11 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(self.made[-1])
         return self.spark.read.schema(df.schema).parquet(self.made[-1])
 
-    def forget(self, df: DataFrame) -> None:
-        """Drop one table; nothing that is still to run reads it."""
-        for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-            mine = next((x for x in self.made if path.rsplit("/", 1)[-1] == x.rsplit("/", 1)[-1]), None)
-            if mine:
-                delete(self.spark, mine)
-                self.made.remove(mine)
+    def forget(self, name: str) -> None:
+        """Drop the tables of that name; nothing that is still to run reads them."""
+        for path in [x for x in self.made if x.rsplit("/", 1)[-1].startswith(f"{name}-")]:
+            delete(self.spark, path)
+            self.made.remove(path)
 
     def drop(self) -> None:
         for path in self.made:

@@ -451,7 +451,9 @@ def test_op9_repeated_rows_keep_their_text(spark):
         assert got == {(1, one): 2, (2, two): 2, (3, ""): 1}
 
 
-def test_op9_groups_beyond_the_first_candidates(spark, monkeypatch):
+@pytest.mark.parametrize("small", [100_000, -1])
+def test_op9_groups_beyond_the_first_candidates(spark, monkeypatch, small):
+    monkeypatch.setattr(setjoin, "SMALL", small)  # packed rows, or each row by itself
     monkeypatch.setattr(setjoin, "ROUNDS", (1, 2, None))
     monkeypatch.setattr(setjoin, "CHUNK", 8)  # so that tokens are cut into chunks
     rng = random.Random(4)
