@@ -33,10 +33,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that their branch's budget of tokens reaches stay; see MIX. A null source is the branch '', a null
+    text has no tokens; rows that repeat a doc_id count each, ties go by text; an empty table gives no rows."""
     return mixing.mixed(docs, MIX)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences. A null or empty text is its end mark alone; rows that repeat a doc_id are packed
+    each; an empty table gives no rows."""
     return packing.pack(docs)
 
 
