@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from .ann import op10_ivfpq
+from .bpe import op13_bpe_trie
+from .conversations import op12_conversation_repair
+from .divergence import SQL_OP11, op11_source_divergence
 from .langid import op4_viterbi_langid
 from .linededup import op9_line_dedup
 from .mixing import op5_hierarchical_mix
@@ -24,9 +27,13 @@ QUERIES = {
     "op8_warc_round_trip": op8_warc_round_trip,
     "op9_line_dedup": op9_line_dedup,
     "op10_ivfpq": op10_ivfpq,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_bpe_trie": op13_bpe_trie,
 }
 
 SQL = {
     "op1_line_frequency": SQL_OP1,
     "op8_warc_round_trip": SQL_OP8,
+    "op11_source_divergence": SQL_OP11,
 }
