@@ -405,3 +405,4 @@ SQL["parse_poll"] = """WITH p AS (SELECT page_id, page_id % 75 AS pending, CASE
 SELECT page_id, state, least(pending + 1, 60) AS polls, CASE WHEN state = 'SUCCESS' THEN CASE WHEN page_id % 2 = 0 THEN '# ' ELSE 'page ' END || page_id END AS parsed FROM p"""
 SQL["sheet_stats"] = f"""WITH c AS (SELECT printf('s%02d', conv_id % 40) AS sheet, conv_id, bool_or(conv_id % 40 % 7 <> 3 AND {trim("coalesce(text, '')")} <> '') AS used FROM conversations GROUP BY ALL),
 s AS (SELECT sheet, count(*) FILTER (used) AS n FROM c GROUP BY sheet) SELECT count(*) AS original_sheets, CAST(sum(n) AS BIGINT) AS kept_chunks, coalesce(string_agg(sheet, ',' ORDER BY sheet) FILTER (n = 0), '') AS dropped_sheets FROM s"""
+SQL["parse_source"] = SQL["parse_pipeline"]

@@ -10,7 +10,7 @@ from ..functions import frontmatter, text as T
 from ..functions.config import FIELDS, STOP_WORDS
 from ..functions.tokens import bpe_counter
 from ..operators import backends, chunking, edits, neardup, noise, retrieve, suggest, validate
-from ..sources import corpus, jobs
+from ..sources import corpus, jobs, jobsource, shared
 from ..streaming import sse
 from .session import ready
 
@@ -400,6 +400,18 @@ def parse_pipeline(spark, sf_dir):
     return _long(out.select("job_id", "original_slides", "kept_slides", "noise_lines_stripped", F.md5("cleaned").alias("md5")))
 
 
+def parse_source(spark, sf_dir):
+    """The same results, left by the parser as files of JSON and read as a source."""
+    p = _t(spark, sf_dir, "pages")
+    md = corpus.html_to_markdown(F.col("html"))
+    done = p.select(F.col("page_id").cast("string").alias("job_id"), F.when(F.col("page_id") % 5 == 0, "ERROR").otherwise("SUCCESS").alias("status"), F.when(F.col("page_id") % 2 == 0, md).alias("markdown"), md.alias("text"))
+    done.write.json(folder := shared.new_path(spark, "parse-jobs"))
+    jobsource.register(spark)
+    found = spark.read.format("parse_jobs").load(folder)
+    out = noise.filter_noise(corpus.parse_result(found).withColumn("job_id", F.col("job_id").cast("long")))
+    return _long(out.select("job_id", "original_slides", "kept_slides", "noise_lines_stripped", F.md5("cleaned").alias("md5")))
+
+
 def _names(spark, sf_dir):
     """File names of several kinds, made from the part names."""
     p = _t(spark, sf_dir, "part")
@@ -536,7 +548,7 @@ QUERIES = {
         noise_clean, noise_stats, slide_drop_flags, issue_summary, fix_plan, fix_list, fix_route, issue_view, issue_line, section_issues, bm25_topk, bm25_topk_multi, bm25_topk_document, bm25_idf, bm25_snippet,
         insert_term, apply_term, tfidf_weights, candidate_pairs, pair_bands, shared_tokens, highlight_segments, section_replace, section_delete, section_undo, docset_upsert, judge_batches, judge_render,
         verdict_normalize, verdict_enrich, fix_all_layering, rewrite_parse, questions_parse, fence_strip, section_clamp, standardize_render, standardize_stub, sse_decode, running_text, idle_sessions,
-        html_to_md, conv_to_md, parse_pipeline, file_gate, scan_counts, first_headings, term_presence, significant_words, review_flags, pair_rewrite,
+        html_to_md, conv_to_md, parse_pipeline, parse_source, file_gate, scan_counts, first_headings, term_presence, significant_words, review_flags, pair_rewrite,
         parse_poll, sheet_stats, verdict_lists, fix_apply, rewrite_commit, rewrite_undo, review_pairs, delete_report,
     )
 } | {
