@@ -208,6 +208,9 @@ ranked AS (SELECT {'p.' + corpus + ', ' if corpus else ''}p.query_id, p.{key}, c
 ASKED = f"SELECT item_id AS query_id, array_to_string(({words('text')})[1:5], ' ') AS query FROM benchmark"
 
 
+WHOLE = "SELECT item_id AS query_id, text AS query FROM benchmark"
+
+
 def _suggestions() -> str:
     alias = "CASE " + " ".join(f"WHEN contains(lt, {q(k)}) OR lt IN ({', '.join(q(n.lower()) for n in v)}) THEN list_filter([{', '.join(f'CASE WHEN NOT {has(chr(116) + chr(101) + chr(120) + chr(116), n)} THEN {q(n)} END' for n in [k, *v])}], lambda x: x IS NOT NULL)[1:1]" for k, v in ALIASES) + " ELSE [] END"
     lack = lambda names, n: f"list_filter([{', '.join(f'CASE WHEN NOT {has(chr(116) + chr(101) + chr(120) + chr(116), x)} THEN {q(x)} END' for x in names)}], lambda x: x IS NOT NULL)[1:{n}]"
@@ -304,6 +307,8 @@ SELECT doc_index, md5('---' || chr(10) || 'department: "Global"' || chr(10) || '
  SELECT CAST(k // 100000 AS BIGINT) AS doc_index, CAST(k % 100000 AS BIGINT) AS section_index, o AS ord, "check" FROM kept""",
     "bm25_topk": f"WITH ch AS (SELECT doc_id AS chunk_index, text FROM documents), {bm25('ch', 'chunk_index', '', ASKED + ' WHERE item_id = 0', 5)} SELECT rank, chunk_index, {half_up('s', 4)} AS score, {heading('text')} AS header, {snippet('text')} AS snippet FROM ranked JOIN ch USING (chunk_index)",
     "bm25_topk_multi": f"WITH ch AS (SELECT doc_id AS chunk_index, text FROM documents), {bm25('ch', 'chunk_index', '', ASKED, 5)} SELECT query_id, rank, chunk_index, {half_up('s', 4)} AS score FROM ranked",
+    "bm25_index_topk": f"WITH ch AS (SELECT doc_id AS chunk_index, text FROM documents), {bm25('ch', 'chunk_index', '', WHOLE, 5)} SELECT query_id, rank, chunk_index, {half_up('s', 4)} AS score, {heading('text')} AS header, {snippet('text')} AS snippet FROM ranked JOIN ch USING (chunk_index)",
+    "bm25_index_document": f"WITH RECURSIVE {CHUNKS}, {bm25('chunks', 'chunk_index', 'doc_index', WHOLE, 3)} SELECT doc_index, query_id, rank, chunk_index, {half_up('s', 4)} AS score FROM ranked",
     "bm25_topk_document": f"WITH RECURSIVE {CHUNKS}, {bm25('chunks', 'chunk_index', 'doc_index', ASKED + ' WHERE item_id = 0', 3)} SELECT doc_index, rank, chunk_index, {half_up('s', 4)} AS score FROM ranked",
     "bm25_idf": f"WITH {BASE.format(w=words('text'))}, nn AS (SELECT count(*) AS n FROM documents) SELECT term, df, {half_up('ln((n - df + 0.5) / (df + 0.5) + 1)', 6)} AS idf FROM df, nn",
     "bm25_snippet": f"SELECT doc_id, {snippet('text')} AS snippet FROM documents",

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import frontmatter, text as T
 from ..functions.config import FIELDS, STOP_WORDS
 from ..functions.tokens import bpe_counter
-from ..operators import backends, chunking, edits, neardup, noise, retrieve, suggest, validate
+from ..operators import backends, bm25_index, chunking, edits, neardup, noise, retrieve, suggest, validate
 from ..sources import corpus, jobs, jobsource, shared
 from ..streaming import sse
 from .session import ready
@@ -180,6 +180,22 @@ def bm25_topk_document(spark, sf_dir):
     return _long(retrieve.search(_chunks(spark, sf_dir), q, corpus=["doc_index"], k=3).select("doc_index", "rank", "chunk_index", "score"))
 
 
+def _whole_questions(spark, sf_dir):
+    return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def bm25_index_topk(spark, sf_dir):
+    """Every benchmark text as a question to a stored index of all documents."""
+    index = bm25_index.build(_sections(spark, sf_dir), shared.new_path(spark, "bm25"))
+    return _long(bm25_index.search(index, _whole_questions(spark, sf_dir)).select("query_id", "rank", "chunk_index", "score", "header", "snippet"))
+
+
+def bm25_index_document(spark, sf_dir):
+    """The same questions to each composed document, all documents in one index."""
+    index = bm25_index.build(_chunks(spark, sf_dir), shared.new_path(spark, "bm25"), corpus=["doc_index"])
+    return _long(bm25_index.search(index, _whole_questions(spark, sf_dir), k=3).select("doc_index", "query_id", "rank", "chunk_index", "score"))
+
+
 def bm25_idf(spark, sf_dir):
     return _long(retrieve.idf(_sections(spark, sf_dir)).select("term", "df", T.round_half_up(F.col("idf"), 6).alias("idf")))
 
@@ -545,7 +561,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         md_compose, frontmatter_parse, frontmatter_build, frontmatter_fix, chunks_by_header, h1_sections, h1_sections_validator, chunk_table, chunk_summary, chunk_resplit, chunk_tokens_bpe,
-        noise_clean, noise_stats, slide_drop_flags, issue_summary, fix_plan, fix_list, fix_route, issue_view, issue_line, section_issues, bm25_topk, bm25_topk_multi, bm25_topk_document, bm25_idf, bm25_snippet,
+        noise_clean, noise_stats, slide_drop_flags, issue_summary, fix_plan, fix_list, fix_route, issue_view, issue_line, section_issues, bm25_topk, bm25_topk_multi, bm25_topk_document, bm25_index_topk, bm25_index_document, bm25_idf, bm25_snippet,
         insert_term, apply_term, tfidf_weights, candidate_pairs, pair_bands, shared_tokens, highlight_segments, section_replace, section_delete, section_undo, docset_upsert, judge_batches, judge_render,
         verdict_normalize, verdict_enrich, fix_all_layering, rewrite_parse, questions_parse, fence_strip, section_clamp, standardize_render, standardize_stub, sse_decode, running_text, idle_sessions,
         html_to_md, conv_to_md, parse_pipeline, parse_source, file_gate, scan_counts, first_headings, term_presence, significant_words, review_flags, pair_rewrite,
