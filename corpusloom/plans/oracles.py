@@ -411,3 +411,11 @@ SELECT page_id, state, least(pending + 1, 60) AS polls, CASE WHEN state = 'SUCCE
 SQL["sheet_stats"] = f"""WITH c AS (SELECT printf('s%02d', conv_id % 40) AS sheet, conv_id, bool_or(conv_id % 40 % 7 <> 3 AND {trim("coalesce(text, '')")} <> '') AS used FROM conversations GROUP BY ALL),
 s AS (SELECT sheet, count(*) FILTER (used) AS n FROM c GROUP BY sheet) SELECT count(*) AS original_sheets, CAST(sum(n) AS BIGINT) AS kept_chunks, coalesce(string_agg(sheet, ',' ORDER BY sheet) FILTER (n = 0), '') AS dropped_sheets FROM s"""
 SQL["parse_source"] = SQL["parse_pipeline"]
+SQL["versions_as_of"] = f"""WITH {FIRST}, step AS (
+  SELECT doc_index, 1 AS version, markdown FROM md_docs
+  UNION ALL SELECT doc_index, 2, CASE WHEN contains(markdown, text) THEN {rtrim(collapse(replaced('markdown', 'text', q(''))))} || chr(10) ELSE markdown END FROM first WHERE doc_index % 3 = 2 AND contains(markdown, text)
+  UNION ALL SELECT doc_index, 3, CASE WHEN contains(markdown, text) THEN {replaced('markdown', 'text', "('# New' || chr(10) || chr(10) || text)")} ELSE markdown END FROM first WHERE doc_index % 3 = 0
+  UNION ALL SELECT doc_index, 4, NULL FROM first WHERE doc_index % 6 = 1
+  UNION ALL SELECT doc_index, 5, markdown FROM first WHERE doc_index % 3 = 2 AND contains(markdown, text)),
+latest AS (SELECT v.as_of, s.*, row_number() OVER (PARTITION BY v.as_of, doc_index ORDER BY version DESC) AS r FROM step s, (SELECT unnest([1, 2, 3, 4, 5]) AS as_of) v WHERE s.version <= v.as_of)
+SELECT as_of::BIGINT AS as_of, doc_index, version::BIGINT AS version, md5(markdown) AS md5 FROM latest WHERE r = 1 AND markdown IS NOT NULL"""

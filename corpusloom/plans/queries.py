@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,7 +12,7 @@ from ..functions import frontmatter, text as T
 from ..functions.config import FIELDS, STOP_WORDS
 from ..functions.tokens import bpe_counter
 from ..operators import backends, bm25_index, chunking, edits, neardup, noise, retrieve, suggest, validate
-from ..sources import corpus, jobs, jobsource, shared
+from ..sources import corpus, jobs, jobsource, shared, versions
 from ..streaming import sse
 from .session import ready
 
@@ -507,6 +509,26 @@ def rewrite_undo(spark, sf_dir):
     return _versions(edits.revert(history, report.where("state = 'done' and original_order % 3 = 0")))
 
 
+def _versioned(spark, sf_dir):
+    """Loaded; section 1 deleted from every third document; rewritten in every third; every sixth
+    document deleted; the section deletions undone."""
+    t = versions.VersionedTable.create(corpus.compose(spark, sf_dir).select("doc_index", "markdown"), shared.new_path(spark, "documents"))
+    s = _first_sections(spark, sf_dir)
+    versions.delete_sections(t, s.where("doc_index % 3 = 2").select(F.col("doc_index").alias("original_order"), F.col("doc_index").alias("doc"), F.col("text").alias("part")))
+    t.commit(s.where("doc_index % 3 = 0").select("doc_index", edits.replace_first(F.col("markdown"), F.col("text"), F.concat(F.lit("# New\n\n"), F.col("text"))).alias("markdown")), t.latest())
+    t.delete(s.where("doc_index % 6 = 1"), t.latest())
+    if t.log()[1]["kind"] == "delete_sections":
+        t.undo(2)
+    return t
+
+
+def versions_as_of(spark, sf_dir):
+    """The documents as of every version."""
+    t = _versioned(spark, sf_dir)
+    every = [t.as_of(v).select(F.lit(v).alias("as_of"), "doc_index", "version", F.md5("markdown").alias("md5")) for v in range(1, t.latest() + 1)]
+    return _long(reduce(DataFrame.unionByName, every))
+
+
 def review_pairs(spark, sf_dir):
     """Both sides of the done edits: heading changed, and the badge of either side's new section."""
     done = _committed(spark, sf_dir)[1].where("state = 'done'")
@@ -565,7 +587,7 @@ QUERIES = {
         insert_term, apply_term, tfidf_weights, candidate_pairs, pair_bands, shared_tokens, highlight_segments, section_replace, section_delete, section_undo, docset_upsert, judge_batches, judge_render,
         verdict_normalize, verdict_enrich, fix_all_layering, rewrite_parse, questions_parse, fence_strip, section_clamp, standardize_render, standardize_stub, sse_decode, running_text, idle_sessions,
         html_to_md, conv_to_md, parse_pipeline, parse_source, file_gate, scan_counts, first_headings, term_presence, significant_words, review_flags, pair_rewrite,
-        parse_poll, sheet_stats, verdict_lists, fix_apply, rewrite_commit, rewrite_undo, review_pairs, delete_report,
+        parse_poll, sheet_stats, verdict_lists, fix_apply, rewrite_commit, rewrite_undo, versions_as_of, review_pairs, delete_report,
     )
 } | {
     "issues_all": _issue_query(),
