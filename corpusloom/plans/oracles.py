@@ -419,3 +419,5 @@ SQL["versions_as_of"] = f"""WITH {FIRST}, step AS (
   UNION ALL SELECT doc_index, 5, markdown FROM first WHERE doc_index % 3 = 2 AND contains(markdown, text)),
 latest AS (SELECT v.as_of, s.*, row_number() OVER (PARTITION BY v.as_of, doc_index ORDER BY version DESC) AS r FROM step s, (SELECT unnest([1, 2, 3, 4, 5]) AS as_of) v WHERE s.version <= v.as_of)
 SELECT as_of::BIGINT AS as_of, doc_index, version::BIGINT AS version, md5(markdown) AS md5 FROM latest WHERE r = 1 AND markdown IS NOT NULL"""
+SQL["sse_stream"] = f"SELECT stream_id, md5 FROM ({SQL['sse_decode']}) s"
+SQL["idle_sessions_stream"] = SQL["idle_sessions"].replace("SELECT user_id, k, count(*) AS n FROM s GROUP BY ALL", "SELECT user_id, k, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)").replace("SELECT user_id, sum(new)", "SELECT user_id, ts, sum(new)")

@@ -13,7 +13,7 @@ from ..functions.config import FIELDS, STOP_WORDS
 from ..functions.tokens import bpe_counter
 from ..operators import backends, bm25_index, chunking, edits, neardup, noise, retrieve, suggest, validate
 from ..sources import corpus, jobs, jobsource, shared, versions
-from ..streaming import sse
+from ..streaming import sse, stateful
 from .session import ready
 
 #: Where the composed documents are small, a low budget makes the splits and checks bite.
@@ -399,6 +399,32 @@ def idle_sessions(spark, sf_dir):
     return _long(s.groupBy("user_id").agg(F.count(F.lit(1)).alias("bursts"), F.sum("edits").alias("edits"), F.max("edits").alias("longest")))
 
 
+def _streamed(spark, df, make, files=0):
+    """df written as a folder, read as a stream (so many files a micro-batch), through make, and read again."""
+    at = shared.new_path(spark, "stream")
+    df.repartition(max(1, 2 * files)).write.parquet(f"{at}/in")
+    source = spark.readStream.schema(df.schema)
+    stream = make((source.option("maxFilesPerTrigger", files) if files else source).parquet(f"{at}/in"))
+    stateful.run_through(stream, f"{at}/out", f"{at}/checkpoint")
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+def sse_stream(spark, sf_dir):
+    """The same streams through the stateful decoder, chunks of a stream in several micro-batches."""
+    chunks = _sse(spark, sf_dir).withColumn("at", F.timestamp_seconds(F.col("seq") + 1_700_000_000))
+    out = stateful.texts(_streamed(spark, chunks, lambda x: stateful.decode_replies(x, at="at", delay="365 days"), files=1))
+    every = _sse(spark, sf_dir).select("stream_id").distinct().join(out, "stream_id", "left")
+    # Deltas are numbered as they are put out; one that is only an opening fence is none.
+    return _long(every.select("stream_id", F.md5(F.coalesce("text", F.lit(""))).alias("md5")))
+
+
+def idle_sessions_stream(spark, sf_dir):
+    """Sessions that a stream of all events has closed: those an hour and more behind its last event."""
+    edits = _t(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    out = _streamed(spark, edits, lambda x: stateful.debounced(x, "user_id", "ts", gap="1 hour", delay="1 hour"))
+    return _long(out.groupBy("user_id").agg(F.count(F.lit(1)).alias("bursts"), F.sum("edits").alias("edits"), F.max("edits").alias("longest")))
+
+
 def html_to_md(spark, sf_dir):
     md = corpus.html_to_markdown(F.col("html"))
     return _long(_t(spark, sf_dir, "pages").select("page_id", F.length(md).alias("chars"), F.md5(md).alias("md5")))
@@ -585,7 +611,7 @@ QUERIES = {
         md_compose, frontmatter_parse, frontmatter_build, frontmatter_fix, chunks_by_header, h1_sections, h1_sections_validator, chunk_table, chunk_summary, chunk_resplit, chunk_tokens_bpe,
         noise_clean, noise_stats, slide_drop_flags, issue_summary, fix_plan, fix_list, fix_route, issue_view, issue_line, section_issues, bm25_topk, bm25_topk_multi, bm25_topk_document, bm25_index_topk, bm25_index_document, bm25_idf, bm25_snippet,
         insert_term, apply_term, tfidf_weights, candidate_pairs, pair_bands, shared_tokens, highlight_segments, section_replace, section_delete, section_undo, docset_upsert, judge_batches, judge_render,
-        verdict_normalize, verdict_enrich, fix_all_layering, rewrite_parse, questions_parse, fence_strip, section_clamp, standardize_render, standardize_stub, sse_decode, running_text, idle_sessions,
+        verdict_normalize, verdict_enrich, fix_all_layering, rewrite_parse, questions_parse, fence_strip, section_clamp, standardize_render, standardize_stub, sse_decode, sse_stream, running_text, idle_sessions, idle_sessions_stream,
         html_to_md, conv_to_md, parse_pipeline, parse_source, file_gate, scan_counts, first_headings, term_presence, significant_words, review_flags, pair_rewrite,
         parse_poll, sheet_stats, verdict_lists, fix_apply, rewrite_commit, rewrite_undo, versions_as_of, review_pairs, delete_report,
     )
