@@ -156,18 +156,26 @@ class Trie:
         return out
 
 
+def read_tokenizer(path: str) -> dict:
+    """The tokenizer file, if it is of the kind that is understood here."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model, cut = told["model"], told["pre_tokenizer"] or {}
+    plain = model.get("type", "BPE") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not model.get("ignore_merges")
+    steps = [x.get("type") for x in (told["normalizer"] or {}).get("normalizers", [])], [x.get("type") for x in cut.get("pretokenizers", [])]
+    if not plain or steps != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or told.get("decoder") or told.get("post_processor") or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in told["added_tokens"]):
+        raise ValueError(f"not a lower-case BPE with word ends: {path}")
+    return told
+
+
 class Codec:
     """Encoder and decoder of one tokenizer file."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            told = json.load(f)
-        model, cut = told["model"], told["pre_tokenizer"] or {}
-        kinds = [x.get("type") for x in cut.get("pretokenizers", [])]
-        if model.get("type", "BPE") != "BPE" or model.get("end_of_word_suffix") != "</w>" or model.get("dropout") or model.get("ignore_merges") or kinds != ["Split", "ByteLevel"] or told.get("decoder") or told.get("post_processor") or [x.get("type") for x in (told["normalizer"] or {}).get("normalizers", [])] != ["NFC", "Replace", "Lowercase"] or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in told["added_tokens"]):
-            raise ValueError(f"not a lower-case BPE with word ends: {path}")
+        told = read_tokenizer(path)
+        model = told["model"]
         whole = Tokenizer.from_file(path)
         self.normalizer, self.cut = whole.normalizer, whole.pre_tokenizer
         self.letters = _byte_letters()

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, learnt_from, table
+from .common import held_out, learnt_from, map_pandas, table
 
 TRAIN, LANGUAGES, GRAMS = 2_000, 200, 120_000
 PENALTY = 8.0
@@ -237,12 +237,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "
             for k in range(0, len(batch), TOGETHER):
                 part = batch.iloc[k : k + TOGETHER]
                 out = pd.DataFrame(labeller.label(part["text"].tolist()), columns=["lang_pred", "score", "word_spans"])
-                out.insert(0, "doc_id", part["doc_id"].astype("Int64").to_numpy())
+                out.insert(0, "doc_id", part["doc_id"].astype("Int64").array)
                 out.insert(1, "held_out", part["held_out"].to_numpy())
                 yield out
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, word_spans string")
+    return map_pandas(rows, run, "doc_id long, held_out boolean, lang_pred string, score double, word_spans string")
 
 
 def op4_viterbi_langid(spark, sf_dir: str) -> DataFrame:

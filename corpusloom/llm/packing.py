@@ -28,7 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .bpe import read_tokenizer
+from .common import map_pandas, materialize, table
 
 LENGTH = 2048
 END = 1
@@ -68,6 +69,9 @@ class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        # Ids are kept in two bytes.
+        if max(read_tokenizer(path)["model"]["vocab"].values()) >= 1 << 16:
+            raise ValueError(f"more than 65,536 ids: {path}")
         self.tokenizer = Tokenizer.from_file(path)
         self.merge, self.letters = self.tokenizer.model.tokenize, _byte_letters()
         self.young: dict[str, bytes] = {}
@@ -181,7 +185,7 @@ def tokenised(docs: DataFrame, id_col: str, text: str, path: str) -> DataFrame:
                 ids = e.ids(part["text"].tolist())
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "key": curve_keys(ids), "ids": [x.tobytes() for x in ids]})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, key long, ids binary")
+    return map_pandas(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, key long, ids binary")
 
 
 class Packer:
@@ -241,8 +245,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def out() -> pd.DataFrame:
-            rows = pd.DataFrame(p.rows, columns=names)
-            rows["doc_id"] = rows["doc_id"].astype("Int64")
+            rows = pd.DataFrame([row[1:] for row in p.rows], columns=names[1:])
+            rows.insert(0, "doc_id", pd.array([row[0] for row in p.rows], dtype="Int64"))
             p.rows = []
             return rows
 
@@ -254,7 +258,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer:
         p.finish()
         yield out()
 
-    return ordered.mapInPandas(run, SCHEMA + (", ids binary" if with_ids else ""))
+    return map_pandas(ordered, run, SCHEMA + (", ids binary" if with_ids else ""))
 
 
 def op6_hilbert_packing(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_pandas, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -300,13 +300,13 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_red
                 kinds = [k for _, k, _ in plain]
                 row = [doc_id, *(kinds.count(k) for k in range(4)), hashlib.sha256(render(plain).encode()).hexdigest(), render(every), len(every) - len(plain)]
                 rows.append([*row, redact(body)] if with_redacted else row)
-            out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = out["doc_id"].astype("Int64")
+            out = pd.DataFrame([row[1:] for row in rows], columns=names[1:])
+            out.insert(0, "doc_id", pd.array([row[0] for row in rows], dtype="Int64"))
             yield out
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long" + (", redacted string" if with_redacted else "")
     names = [x.split()[0] for x in schema.split(", ")]
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, schema)
+    return map_pandas(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")), run, schema)
 
 
 def op2_deobfuscated_pii(spark, sf_dir: str) -> DataFrame:

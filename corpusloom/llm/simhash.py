@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin
-from .common import Scratch, counted, materialize, table
+from .common import Scratch, counted, map_pandas, materialize, table
 from .components import connected_components
 from .tokens import shingles
 
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": np.fromiter((fingerprint(t, shingle) for t in batch["text"]), np.int64, len(batch))})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return map_pandas(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, fp long")
 
 
 def forest(end: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:

@@ -72,7 +72,8 @@ def words(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     while k < len(start):
         until = max(k + 1, int(np.searchsorted(end, start[k] + BLOCK, "right")))
         base, n = start[k], int(end[until - 1] - start[k])
-        p, q = _powers(BLOCK if n <= BLOCK else n)
+        # Kept for blocks; a longer word's own are dropped with it.
+        p, q = _powers(BLOCK) if n <= BLOCK else _powers.__wrapped__(n)
         running = np.zeros(n + 1, np.uint64)
         np.cumsum(np.take(_VALUE, data[base : base + n]) * p[:n], out=running[1:])
         s, e = start[k:until] - base, end[k:until] - base

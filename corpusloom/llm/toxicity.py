@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, learnt_from, table
+from .common import held_out, learnt_from, map_pandas, table
 
 TRAIN_TOXIC, TRAIN_CLEAN, WORDS = 3_000, 6_000, 150_000
 #: Tokens of prior in proportion to use, beside half a token for each word, and observations at which a word counts as much as its prefix.
@@ -226,7 +226,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "score": score, "predicted": (score >= THRESHOLD).astype(np.int32), "passages": [p for _, p in judged]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int, passages string")
+    return map_pandas(rows, run, "doc_id long, held_out boolean, score double, predicted int, passages string")
 
 
 def op7_segment_toxicity(spark, sf_dir: str) -> DataFrame:

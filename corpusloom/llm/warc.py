@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, table
+from .common import map_pandas, materialize, new_path, table
 
 #: Payloads below this many bytes are always written in full.
 LEAST = 1000
@@ -178,7 +178,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pd.DataFrame({"path": [path], "records": [n]})
 
-    return materialize(rows.mapInPandas(run, "path string, records long"), "monolithic-archives")
+    return materialize(map_pandas(rows, run, "path string, records long"), "monolithic-archives")
 
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
@@ -215,11 +215,11 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     yield typed(found)
 
     def typed(found: list[dict]) -> pd.DataFrame:
-        out = pd.DataFrame(found, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-        return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+        kinds = {"page_id": "Int64", "payload_bytes": "Int64", "payload_digest": object, "record_type": object, "refers_to": "Int64"}
+        return pd.DataFrame({c: pd.array([x[c] for x in found], dtype=k) if k == "Int64" else [x[c] for x in found] for c, k in kinds.items()})
 
     spread = archives.select("path", "index").repartition(max(1, min(archives.count(), 10_000)))
-    return spread.mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return map_pandas(spread, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
