@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import clamp, first_h1, salvage_json, strip_orphan_fences
@@ -29,23 +29,30 @@ def route_model(config: dict, pro: bool = False) -> str:
     return config.get("pro_model" if pro else "model") or config["model"]
 
 
-def call(rows: DataFrame, prompt: str, backend: Backend, out: str = "reply", retries: int = 1, parallel: int | None = None) -> DataFrame:
-    """Adds the replies; a batch that fails after its retries gives null replies."""
+def call(rows: DataFrame, prompt: str, backend: Backend, out: str = "reply", retries: int = 1, parallel: int | None = None, counter: Observation | None = None) -> DataFrame:
+    """Adds the replies; a batch that fails after its retries gives null replies. Other columns pass
+    through Arrow as they are. ``counter`` gets ``called`` and ``failed``, the rows with a prompt and
+    those of them without a reply, once an action has run."""
     rows = rows.repartition(parallel) if parallel else rows
-    names = [*rows.columns, out]
+    wanted = rows.withColumn(out, F.lit(None).cast("string")).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            replies: list[str | None] = [None] * len(batch)
+            replies: list[str | None] = [None] * batch.num_rows
             for _ in range(retries + 1):
                 try:
-                    replies = backend(batch[prompt].tolist())
+                    replies = backend(batch.column(prompt).to_pylist())
                     break
                 except Exception:  # noqa: BLE001  a model's failure costs its batch only
                     continue
-            yield batch.assign(**{out: replies})[names]
-
-    return rows.mapInPandas(run, rows.withColumn(out, F.lit(None).cast("string")).schema)
+            kept = [c for c in batch.schema.names if c != out]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(replies, pa.string())], [*kept, out])
+
+    found = rows.mapInArrow(run, wanted)
+    if counter is None:
+        return found
+    asked = F.col(prompt).isNotNull()
+    return found.observe(counter, F.count_if(asked).alias("called"), F.count_if(asked & F.col(out).isNull()).alias("failed"))
 
 
 def stub_verdict(cosine: Column) -> Column:
