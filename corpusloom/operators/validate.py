@@ -91,6 +91,13 @@ def summarize(docs: DataFrame, issues: DataFrame, keys: tuple[str, ...] = ("doc_
     return docs.select(*keys).join(counts, [*keys], "left").fillna(0, ["error", "warn", "info"])
 
 
+def rollup(issues: DataFrame, keys: tuple[str, ...] = ("doc_index",)) -> DataFrame:
+    """Issues and documents with one by severity and check, by severity, and in all: one aggregation over
+    grouping sets. level is 0, 1 or 3 (Spark's grouping id); without issues there is the last row alone."""
+    sums = issues.rollup("severity", "check").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("issues"), F.count_distinct(*keys).alias("documents"))
+    return sums.select("level", "severity", "check", "issues", "documents")
+
+
 def validate_section(rows: DataFrame, text: str = "text", entity: str = "", keys: tuple[str, ...] = ("section",), **limits) -> DataFrame:
     """Issues of single sections, those about frontmatter aside."""
     block = frontmatter.build(F.lit("x"), F.lit("x"), F.lit("1"), F.lit("x"))

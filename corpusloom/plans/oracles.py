@@ -421,3 +421,6 @@ latest AS (SELECT v.as_of, s.*, row_number() OVER (PARTITION BY v.as_of, doc_ind
 SELECT as_of::BIGINT AS as_of, doc_index, version::BIGINT AS version, md5(markdown) AS md5 FROM latest WHERE r = 1 AND markdown IS NOT NULL"""
 SQL["sse_stream"] = f"SELECT stream_id, md5 FROM ({SQL['sse_decode']}) s"
 SQL["idle_sessions_stream"] = SQL["idle_sessions"].replace("SELECT user_id, k, count(*) AS n FROM s GROUP BY ALL", "SELECT user_id, k, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)").replace("SELECT user_id, sum(new)", "SELECT user_id, ts, sum(new)")
+SQL["issues_rollup"] = f"""SELECT grouping(severity, "check")::BIGINT AS level, severity, "check", count(*) AS issues, count(DISTINCT doc_index) AS documents FROM ({SQL['issues_all']}) i GROUP BY ROLLUP (severity, "check")"""
+SQL["issues_contact_rows"] = r"""SELECT doc_id, 'info' AS severity, 'body' AS location FROM documents
+WHERE NOT regexp_matches(coalesce(text, ''), '\+?\d[\d\s\-()]{7,}') AND NOT regexp_matches(coalesce(text, ''), '[\w.%+\-]+@[\w.-]+\.\w+')"""

@@ -128,6 +128,19 @@ def issue_summary(spark, sf_dir):
     return _long(validate.summarize(docs, validate.validate(docs, entity=ENTITY)))
 
 
+def issues_rollup(spark, sf_dir):
+    """Counts of issues by severity and check with their totals."""
+    return _long(validate.rollup(_issues(spark, sf_dir)))
+
+
+def issues_contact_rows(spark, sf_dir):
+    """Every row of documents as a document that asks to be contacted: found where it gives no way to."""
+    d = _t(spark, sf_dir, "documents")
+    md = F.concat(F.lit("# Topic\n\n"), F.coalesce("text", F.lit("")), F.lit("\n\nContact us."))
+    rows = validate.validate(d.select(F.col("doc_id").alias("doc_index"), md.alias("markdown")))
+    return _long(rows.where("check = 'explicit_contact'").select(F.col("doc_index").alias("doc_id"), "severity", "location"))
+
+
 def fix_plan(spark, sf_dir):
     return _long(validate.fix_plan(_issues(spark, sf_dir)).select("doc_index", "ord", "type", "location", "current_tokens"))
 
@@ -609,7 +622,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         md_compose, frontmatter_parse, frontmatter_build, frontmatter_fix, chunks_by_header, h1_sections, h1_sections_validator, chunk_table, chunk_summary, chunk_resplit, chunk_tokens_bpe,
-        noise_clean, noise_stats, slide_drop_flags, issue_summary, fix_plan, fix_list, fix_route, issue_view, issue_line, section_issues, bm25_topk, bm25_topk_multi, bm25_topk_document, bm25_index_topk, bm25_index_document, bm25_idf, bm25_snippet,
+        noise_clean, noise_stats, slide_drop_flags, issue_summary, issues_rollup, issues_contact_rows, fix_plan, fix_list, fix_route, issue_view, issue_line, section_issues, bm25_topk, bm25_topk_multi, bm25_topk_document, bm25_index_topk, bm25_index_document, bm25_idf, bm25_snippet,
         insert_term, apply_term, tfidf_weights, candidate_pairs, pair_bands, shared_tokens, highlight_segments, section_replace, section_delete, section_undo, docset_upsert, judge_batches, judge_render,
         verdict_normalize, verdict_enrich, fix_all_layering, rewrite_parse, questions_parse, fence_strip, section_clamp, standardize_render, standardize_stub, sse_decode, sse_stream, running_text, idle_sessions, idle_sessions_stream,
         html_to_md, conv_to_md, parse_pipeline, parse_source, file_gate, scan_counts, first_headings, term_presence, significant_words, review_flags, pair_rewrite,
