@@ -277,6 +277,7 @@ FENCED = "'```markdown' || chr(10) || text || chr(10) || '  ```js ' || chr(10) |
 
 SQL = {
     "md_compose": f"WITH {MD} SELECT doc_index, doc_name, md5(markdown) AS md5, length(markdown) AS chars FROM md_docs",
+    "zip_archives": f"WITH {MD} SELECT doc_name, md5(markdown) AS md5 FROM md_docs",
     "frontmatter_parse": f"WITH {FM} SELECT doc_index, fm_present, {', '.join(FIELDS)}, md5(body) AS body_md5 FROM fm",
     "frontmatter_build": f"""WITH {FM} SELECT doc_index, '---' || chr(10) || 'department: "' || coalesce(department, '') || '"' || chr(10) || 'topic: "' || coalesce(topic, '') || '"' || chr(10) || 'course_id: ' || coalesce(course_id, '') || chr(10) || 'course_name: "' || coalesce(course_name, '') || '"' || chr(10) || '---' || chr(10) AS block FROM fm WHERE fm_present""",
     "frontmatter_fix": f"""WITH {MD}, a AS (SELECT *, {ltrim('markdown')} AS l FROM md_docs), b AS (SELECT *, CASE WHEN starts_with(l, '---') THEN instr(substr(l, 4), chr(10) || '---') ELSE 0 END AS c FROM a), d AS (SELECT *, substr(l, c + 7) AS rest FROM b)

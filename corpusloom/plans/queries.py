@@ -12,7 +12,7 @@ from ..functions import frontmatter, text as T
 from ..functions.config import FIELDS, STOP_WORDS
 from ..functions.tokens import bpe_counter
 from ..operators import backends, bm25_index, chunking, edits, neardup, noise, retrieve, suggest, validate
-from ..sources import corpus, jobs, jobsource, shared, versions
+from ..sources import archives, corpus, jobs, jobsource, shared, versions
 from ..streaming import sse, stateful
 from .session import ready
 
@@ -612,6 +612,13 @@ def parse_poll(spark, sf_dir):
     return _long(done.select(F.col("key").cast("long").alias("page_id"), "state", "polls", F.coalesce("markdown", "text").alias("parsed")))
 
 
+def zip_archives(spark, sf_dir):
+    """Every composed document written to archives and read back from them."""
+    folder = shared.new_path(spark, "archives")
+    archives.write(corpus.compose(spark, sf_dir), folder)
+    return spark.read.format("zip_archive").load(folder).select("doc_name", F.md5("markdown").alias("md5"))
+
+
 def sheet_stats(spark, sf_dir):
     """Conversations as clusters of forty sheets, the texts of some sheets blank."""
     c = _t(spark, sf_dir, "conversations").withColumn("sheet", F.format_string("s%02d", F.col("conv_id") % 40)).withColumn("text", F.when(F.col("conv_id") % 40 % 7 == 3, " \n ").otherwise(F.col("text")))
@@ -626,7 +633,7 @@ QUERIES = {
         insert_term, apply_term, tfidf_weights, candidate_pairs, pair_bands, shared_tokens, highlight_segments, section_replace, section_delete, section_undo, docset_upsert, judge_batches, judge_render,
         verdict_normalize, verdict_enrich, fix_all_layering, rewrite_parse, questions_parse, fence_strip, section_clamp, standardize_render, standardize_stub, sse_decode, sse_stream, running_text, idle_sessions, idle_sessions_stream,
         html_to_md, conv_to_md, parse_pipeline, parse_source, file_gate, scan_counts, first_headings, term_presence, significant_words, review_flags, pair_rewrite,
-        parse_poll, sheet_stats, verdict_lists, fix_apply, rewrite_commit, rewrite_undo, versions_as_of, review_pairs, delete_report,
+        zip_archives, parse_poll, sheet_stats, verdict_lists, fix_apply, rewrite_commit, rewrite_undo, versions_as_of, review_pairs, delete_report,
     )
 } | {
     "issues_all": _issue_query(),

@@ -137,27 +137,7 @@ def write_corpus(docs: DataFrame, path: str) -> None:
 
 
 def write_zips(docs: DataFrame, folder: str) -> DataFrame:
-    """Zip archives of all documents, one for each partition; (path, files)."""
-
-    def run(batches):
-        import io
-        import uuid
-        import zipfile
-
-        import pandas as pd
-        from pyarrow import fs
-
-        buffer, n = io.BytesIO(), 0
-        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-            for batch in batches:
-                for name, markdown in zip(batch["doc_name"], batch["markdown"]):
-                    z.writestr(name, markdown or "")
-                    n += 1
-        if n:
-            store, base = fs.FileSystem.from_uri(folder)
-            path = f"{base}/corpus-{uuid.uuid4().hex}.zip"
-            with store.open_output_stream(path) as out:
-                out.write(buffer.getvalue())
-            yield pd.DataFrame({"path": [path], "files": [n]})
-
-    return docs.select("doc_name", "markdown").mapInPandas(run, "path string, files long")
+    """Zip archives of all documents, see ``archives``; (archive, files)."""
+    from . import archives
+
+    return archives.write(docs, folder)
