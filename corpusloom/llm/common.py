@@ -73,7 +73,8 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Like ``materialize``."""
         self.made.append(new_path(self.spark, name))
-        df.write.option("compression", "zstd").parquet(self.made[-1])
+        # Hashes and bits, hardly two alike: dictionaries and strong compression cost more than they save.
+        df.write.option("compression", "snappy").option("parquet.enable.dictionary", "false").parquet(self.made[-1])
         return self.spark.read.schema(df.schema).parquet(self.made[-1])
 
     def forget(self, name: str) -> None:
