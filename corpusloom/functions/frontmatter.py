@@ -36,10 +36,13 @@ def parse(df: DataFrame, markdown: str = "markdown", general: bool = True) -> Da
         out = out.withColumn(f, F.when(F.col("fm_present") & F.col("_yaml").rlike(rf"(?m)^{f}:"), value))
     out = out.withColumn("body", F.when(F.col("_has"), ltrim(F.expr("substring(_left, _close + 3)"))).otherwise(md))
     if general:
-        out = out.withColumn("_more", yaml_fields(F.when(F.col("_has") & ~F.col("fm_present"), F.col("_yaml"))))
+        # Only rows whose block isn't flat, few if any, pass through Python.
+        odd = F.col("_has") & ~F.col("fm_present")
+        more = out.where(odd).withColumn("_more", yaml_fields(F.col("_yaml")))
         for f in FIELDS:
-            out = out.withColumn(f, F.coalesce(f, F.col("_more")[f]))
-        out = out.withColumn("fm_present", F.col("fm_present") | F.coalesce(F.col("_more.present"), F.lit(False))).drop("_more")
+            more = more.withColumn(f, F.col("_more")[f])
+        more = more.withColumn("fm_present", F.col("_more.present")).drop("_more")
+        out = out.where(~odd).unionByName(more)
     return out.drop("_left", "_close", "_has", "_yaml")
 
 

@@ -47,9 +47,14 @@ def fold(parts: Column, budget: int = MAX_TOKENS, overlap: int = OVERLAP) -> Col
 
 
 def chunk(docs: DataFrame, markdown: str = "markdown", counter: Callable[[Column], Column] = units, keys: tuple[str, ...] = ("doc_index",)) -> DataFrame:
-    """keys, chunk_index, header, text, token_count, oversized_resplit; chunks stay in their
-    document's row until the end, so nothing is shuffled."""
-    body = frontmatter.parse(docs, markdown).select(*keys, header_blocks(F.col("body")).alias("_b"))
+    """keys, chunk_index, header, text, token_count, oversized_resplit. The paragraphs of chunks beyond the
+    budget are grouped by chunk, and chunks are numbered within their document: two shuffles by key."""
+    return chunk_parsed(frontmatter.parse(docs, markdown, general=False), counter, keys)
+
+
+def chunk_parsed(parsed: DataFrame, counter: Callable[[Column], Column] = units, keys: tuple[str, ...] = ("doc_index",)) -> DataFrame:
+    """``chunk`` of documents whose frontmatter is parsed; keys may hold columns that go by document."""
+    body = parsed.select(*keys, header_blocks(F.col("body")).alias("_b"))
     one = body.select(*keys, F.posexplode("_b").alias("_sec", "_text")).withColumn("_tokens", counter(F.col("_text")))
     split = one.where(F.col("_tokens") > RESPLIT_OVER).select(*keys, "_sec", "_text", F.posexplode(paragraphs(F.col("_text"))).alias("_i", "_p"))
     # Tokens of paragraphs are counted in rows, where a vectorised counter can run.

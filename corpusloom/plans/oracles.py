@@ -412,6 +412,10 @@ SELECT page_id, state, least(pending + 1, 60) AS polls, CASE WHEN state = 'SUCCE
 SQL["sheet_stats"] = f"""WITH c AS (SELECT printf('s%02d', conv_id % 40) AS sheet, conv_id, bool_or(conv_id % 40 % 7 <> 3 AND {trim("coalesce(text, '')")} <> '') AS used FROM conversations GROUP BY ALL),
 s AS (SELECT sheet, count(*) FILTER (used) AS n FROM c GROUP BY sheet) SELECT count(*) AS original_sheets, CAST(sum(n) AS BIGINT) AS kept_chunks, coalesce(string_agg(sheet, ',' ORDER BY sheet) FILTER (n = 0), '') AS dropped_sheets FROM s"""
 SQL["parse_source"] = SQL["parse_pipeline"]
+SQL["ingest_upsert"] = SQL["docset_upsert"]
+SQL["dictionary_terms"] = """WITH t AS (SELECT DISTINCT w AS term FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM benchmark) WHERE length(w) >= 4),
+d AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM documents)
+SELECT doc_id, term, count(*) AS n FROM d JOIN t ON w = term GROUP BY doc_id, term"""
 SQL["versions_as_of"] = f"""WITH {FIRST}, step AS (
   SELECT doc_index, 1 AS version, markdown FROM md_docs
   UNION ALL SELECT doc_index, 2, CASE WHEN contains(markdown, text) THEN {rtrim(collapse(replaced('markdown', 'text', q(''))))} || chr(10) ELSE markdown END FROM first WHERE doc_index % 3 = 2 AND contains(markdown, text)

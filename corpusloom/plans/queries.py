@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import frontmatter, text as T
+from ..functions import dictionary, frontmatter, text as T
 from ..functions.config import FIELDS, STOP_WORDS
 from ..functions.tokens import bpe_counter
 from ..operators import backends, bm25_index, chunking, edits, neardup, noise, retrieve, suggest, validate
 from ..sources import archives, corpus, jobs, jobsource, shared, versions
-from ..streaming import sse, stateful
+from ..streaming import ingest, sse, stateful
 from .session import ready
 
 #: Where the composed documents are small, a low budget makes the splits and checks bite.
@@ -220,9 +220,7 @@ def bm25_snippet(spark, sf_dir):
 
 
 def _suggest(spark, sf_dir):
-    docs = corpus.compose(spark, sf_dir)
-    topics = frontmatter.parse(docs).select("doc_index", "topic")
-    return suggest.suggest(chunking.chunk(docs).join(topics, "doc_index"))
+    return suggest.suggest(chunking.chunk_parsed(_parsed(spark, sf_dir), keys=("doc_index", "topic")))
 
 
 def _suggest_query(*kinds):
@@ -308,6 +306,24 @@ def docset_upsert(spark, sf_dir):
     return _long(out.select("place_batch", "place_ord", "name", F.md5("markdown").alias("md5")))
 
 
+def ingest_upsert(spark, sf_dir):
+    """The same set from numbered batches, the first folded, the second applied twice."""
+    d, kept = corpus.compose(spark, sf_dir), ingest.DocumentSet(spark, shared.new_path(spark, "documents"))
+    up = d.where("doc_index % 3 = 0").select((-F.col("doc_index")).alias("ord"), F.when(F.col("doc_index") % 2 == 0, F.col("doc_name")).otherwise(F.concat(F.lit("new-"), F.col("doc_name"))).alias("name"), F.lit("# Replaced").alias("markdown"))
+    kept.apply(d.select(F.col("doc_index").alias("ord"), F.col("doc_name").alias("name"), "markdown"), 0)
+    kept.compact()
+    for _ in range(2):
+        kept.apply(up, 1)
+    return _long(kept.current().select("place_batch", "place_ord", "name", F.md5("markdown").alias("md5")))
+
+
+def dictionary_terms(spark, sf_dir):
+    """The words of four letters or more of all benchmark texts as a dictionary, sought in every document."""
+    ascii_words = lambda c: F.explode(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9_]+)"), F.lit(1)))
+    terms = _t(spark, sf_dir, "benchmark").select(ascii_words(F.col("text")).alias("term")).where(F.length("term") >= 4)
+    return _long(dictionary.found_terms(_t(spark, sf_dir, "documents"), terms, ["doc_id"]).select("doc_id", "term", "n"))
+
+
 def _judged(spark, sf_dir):
     order = [F.desc("similarity"), F.col("a_doc"), F.col("a_sec"), F.col("b_doc"), F.col("b_sec")]
     return edits.batches(_pair_texts(spark, sf_dir), order)
@@ -630,7 +646,7 @@ QUERIES = {
     for f in (
         md_compose, frontmatter_parse, frontmatter_build, frontmatter_fix, chunks_by_header, h1_sections, h1_sections_validator, chunk_table, chunk_summary, chunk_resplit, chunk_tokens_bpe,
         noise_clean, noise_stats, slide_drop_flags, issue_summary, issues_rollup, issues_contact_rows, fix_plan, fix_list, fix_route, issue_view, issue_line, section_issues, bm25_topk, bm25_topk_multi, bm25_topk_document, bm25_index_topk, bm25_index_document, bm25_idf, bm25_snippet,
-        insert_term, apply_term, tfidf_weights, candidate_pairs, pair_bands, shared_tokens, highlight_segments, section_replace, section_delete, section_undo, docset_upsert, judge_batches, judge_render,
+        insert_term, apply_term, tfidf_weights, candidate_pairs, pair_bands, shared_tokens, highlight_segments, section_replace, section_delete, section_undo, docset_upsert, ingest_upsert, dictionary_terms, judge_batches, judge_render,
         verdict_normalize, verdict_enrich, fix_all_layering, rewrite_parse, questions_parse, fence_strip, section_clamp, standardize_render, standardize_stub, sse_decode, sse_stream, running_text, idle_sessions, idle_sessions_stream,
         html_to_md, conv_to_md, parse_pipeline, parse_source, file_gate, scan_counts, first_headings, term_presence, significant_words, review_flags, pair_rewrite,
         zip_archives, parse_poll, sheet_stats, verdict_lists, fix_apply, rewrite_commit, rewrite_undo, versions_as_of, review_pairs, delete_report,
