@@ -6,11 +6,13 @@ Lengths and positions are in code points. White space is the set below wherever
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space beyond ASCII that trims and splits honour.
-SPACE = r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: White space, ASCII and beyond, that trims take off.
+SPACE = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: An ASCII word boundary; Java's own is Unicode-aware.
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 WORD = "[A-Za-z0-9_]+"
@@ -18,20 +20,26 @@ WORD = "[A-Za-z0-9_]+"
 UNIT = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value found once a row. What stands in a lambda is found anew for each element,
+    and what holds a lambda anew wherever it is named: common expressions aren't shared there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
 def ltrim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{SPACE}+", "")
+    return F.ltrim(c, F.lit(SPACE))
 
 
 def rtrim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{SPACE}+\z", "")
+    return F.rtrim(c, F.lit(SPACE))
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.trim(c, F.lit(SPACE))
 
 
 def is_blank(c: Column) -> Column:
@@ -63,7 +71,8 @@ def escape(term: Column) -> Column:
 
 def has_term(text: Column, term: Column) -> Column:
     """Whether a term stands in the text between ASCII word boundaries, in any case."""
-    return (term != "") & F.rlike(text, F.concat(F.lit(rf"(?iu){EDGE}"), escape(term), F.lit(EDGE)))
+    # The term is looked for first, so that edges are tried only where it stands.
+    return (term != "") & F.rlike(text, F.concat(F.lit("(?iu)"), escape(term), F.lit(f"(?<={EDGE}"), escape(term), F.lit(rf"){EDGE}")))
 
 
 def words(text: Column) -> Column:
@@ -132,21 +141,30 @@ def size_flag(tokens: Column, low: int = 70, high: int = 512) -> Column:
 
 
 def locate_line(text: Column, location: Column) -> Column:
-    """1-based line that an issue's location names; 1 if none is found. One pass: each line gets
-    the rank of the best way in which it fits, and the first of the best wins."""
-    place = trim(text_or_empty(location))
-    field = F.regexp_extract(place, r"\Afrontmatter\.(\w+)", 1)
-    head = trim(F.regexp_extract(place, r"\A#{1,3}[ ]+(.*)\z", 1))
-    by_field, by_head = field != "", place.rlike(r"\A#{1,3} ")
-
-    def fit(x: Column) -> Column:
-        same_head = F.when(trim(x) == place, 0).when(x.rlike(r"\A#{1,3}\s") & (trim(F.regexp_replace(x, r"\A#{1,3}\s+", "")) == head), 1)
-        named = F.when(F.rlike(x, F.concat(F.lit(r"(?i)\A\s*"), field, F.lit(r"\s*:"))), 0)
-        return F.when(by_field, named).when(by_head, F.when(x.startswith("#") | (trim(x) == place), same_head)).when(place == "body", F.when(x.rlike(r"\A#\s+"), 0)).otherwise(F.when(F.contains(x, place), 0))
-
-    ranked = F.filter(F.transform(F.split(text, "\n"), lambda x, k: F.struct(fit(x).alias("fit"), (k + 1).alias("line"))), lambda s: s["fit"].isNotNull())
-    found = F.when((place == "") | (place == "top"), F.lit(1)).otherwise(F.array_min(ranked)["line"])
-    return F.coalesce(found, F.lit(1)).cast("int")
+    """1-based line that an issue's location names; 1 if none is found."""
+    return F.get(locate_lines(text, F.array(location)), F.lit(0))
+
+
+def locate_lines(text: Column, locations: Column) -> Column:
+    """The same for an array of locations. The text is cut into lines once, and headings and field
+    lines, which nearly all locations name, are picked out once; of lines that fit, the first in the best way wins."""
+    lines = F.transform(F.split(text, "\n"), lambda x, k: F.struct((k + 1).alias("line"), x.alias("x"), trim(x).alias("bare")))
+    heads = lambda ls: F.transform(F.filter(ls, lambda s: s["bare"].startswith("#")), lambda s: F.struct(s["line"], s["bare"], s["x"].rlike(r"\A#\s+").alias("h1"), F.when(s["x"].rlike(r"\A#{1,3}\s"), trim(F.regexp_replace(s["x"], r"\A#{1,3}\s+", ""))).alias("name")))
+    named = lambda ls: F.filter(F.transform(ls, lambda s: F.struct(s["line"], F.lower(F.regexp_extract(s["x"], r"\A\s*(\w+)\s*:", 1)).alias("name"))), lambda s: s["name"] != "")
+    first = lambda rows, fits: F.get(F.filter(rows, fits), F.lit(0))["line"]
+
+    def locate(z: Column, place: Column) -> Column:
+        field = F.lower(F.regexp_extract(place, r"\Afrontmatter\.(\w+)", 1))
+        head = trim(F.regexp_extract(place, r"\A#{1,3}[ ]+(.*)\z", 1))
+        by_name = once(head, lambda h: first(z["heads"], lambda s: s["name"] == h))
+        by_head = F.coalesce(first(z["heads"], lambda s: s["bare"] == place), by_name)
+        by_field = once(field, lambda f: first(z["fields"], lambda s: s["name"] == f))
+        found = F.when(place.isin("", "top"), F.lit(1)).when(field != "", by_field).when(place.rlike(r"\A#{1,3} "), by_head)
+        found = found.when(place == "body", first(z["heads"], lambda s: s["h1"])).otherwise(first(z["lines"], lambda s: F.contains(s["x"], place)))
+        return F.coalesce(found, F.lit(1)).cast("int")
+
+    index = lambda ls: F.struct(ls.alias("lines"), heads(ls).alias("heads"), named(ls).alias("fields"))
+    return once(once(lines, index), lambda z: F.transform(locations, lambda a: once(trim(text_or_empty(a)), lambda place: locate(z, place))))
 
 
 def highlight(text: Column, shared: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.config import NoiseConfig
-from ..functions.text import blocks, collapse_blank_lines, is_blank, text_or_empty, trim
+from ..functions.text import blocks, collapse_blank_lines, is_blank, once, text_or_empty, trim
 
 # Labels of dropped slides.
 FIRST, LAST = "first (title-only)", "last (thank-you / Q&A / closing)"
@@ -19,12 +19,13 @@ def slides(markdown: Column) -> Column:
 
 def title_only(slide: Column) -> Column:
     lines = F.filter(F.transform(F.split(slide, "\n"), trim), lambda x: x != "")
-    return (F.size(lines) > 0) & F.get(lines, 0).startswith("#") & ((F.size(lines) == 1) | ((F.size(lines) == 2) & (F.length(F.get(lines, 1)) < 80)))
+    return once(lines, lambda ls: (F.size(ls) > 0) & F.get(ls, F.lit(0)).startswith("#") & ((F.size(ls) == 1) | ((F.size(ls) == 2) & (F.length(F.get(ls, F.lit(1))) < 80))))
 
 
 def closing(slide: Column, phrases: tuple[str, ...]) -> Column:
-    head = F.array_join(F.slice(F.filter(F.split(F.lower(trim(slide)), r"\s+"), lambda x: x != ""), 1, 8), " ")
-    return F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(head, p))
+    # No more of the slide is split and lower-cased than is looked at.
+    head = F.lower(F.array_join(F.slice(F.filter(F.split(trim(slide), r"\s+", 9), lambda x: x != ""), 1, 8), " "))
+    return once(head, lambda h: F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(h, p)))
 
 
 def is_noise(line: Column, config: NoiseConfig) -> Column:
