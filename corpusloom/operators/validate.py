@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import frontmatter
 from ..functions.config import FIELDS, MAX_TOKENS, MIN_TOKENS
-from ..functions.text import EDGE, blocks, is_blank, split_before, trim, units
+from ..functions.text import EDGE, blocks, is_blank, once, split_before, trim, units
 from .backends import render_fixes
 
 # List lines, telephone numbers and addresses as the checks know them.
@@ -34,19 +34,20 @@ def title(section: Column) -> Column:
 def bullets_without_lead(section: Column) -> Column:
     """Whether some run of list lines lacks a lead-in: within three lines before it the first
     that is not blank must be no heading or list line and end in a colon (markup aside)."""
-    lines = F.split(section, "\n")
-    flags = F.transform(lines, lambda x: x.rlike(BULLET))
     blank = lambda x: trim(x) == ""
     ends = lambda x: F.regexp_replace(trim(x), r"[*_`]+\z", "").endswith(":") & ~trim(x).startswith("#") & ~x.rlike(BULLET)
 
-    def bad(_, k):
+    def bad(lines, flags, k):
         # A negative index is out of range and gives null: nothing to lead in.
         at = [F.get(lines, k - i) for i in (1, 2, 3)]
         lead = F.when(at[0].isNotNull() & ~blank(at[0]), ends(at[0])).when(at[1].isNotNull() & ~blank(at[1]), ends(at[1])).when(at[2].isNotNull() & ~blank(at[2]), ends(at[2])).otherwise(F.lit(False))
         begins = F.get(flags, k) & ~F.coalesce(F.get(flags, k - 1), F.lit(False))
         return begins & ~lead
 
-    return F.exists(F.transform(lines, bad), lambda x: x)
+    # Only where a list line begins is there anything to look at.
+    places = lambda flags: F.filter(F.sequence(F.lit(0), F.size(flags) - 1), lambda k: F.get(flags, k))
+    marked = lambda lines: once(F.transform(lines, lambda x: x.rlike(BULLET)), lambda flags: F.exists(places(flags), lambda k: bad(lines, flags, k)))
+    return once(F.split(section, "\n"), marked)
 
 
 def _issue(phase: int, section: Column, sub: Column, rule: int, check: str, severity: str, location: Column, message: Column) -> Column:
