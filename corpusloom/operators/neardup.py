@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.config import STOP_WORDS
-from ..functions.text import blocks, first_h1, round_half_up, significant_words, units
+from ..functions.text import blocks, first_h1, once, round_half_up, significant_words, units
 from ..sources.shared import new_path, written
 
 #: A block of words goes up to so many times the document frequency of the block before.
@@ -32,6 +32,8 @@ CHUNK, LEVELS = 2048, 8
 SEED_WORDS, SEED_DF = 3, 8
 #: Rows that a block of several spans may meet in, for each posting and at least; a span alone may have more.
 SPEND, SPEND_LEAST = 2, 50_000
+#: Pairs to be compared up to which they are broadcast, some 64 bytes each.
+MET = 100_000
 SLACK = 1e-9
 
 
@@ -55,18 +57,32 @@ def weights(rows: DataFrame, keys: list[str], text: str = "text", stop: list[str
     return joined.select(*keys, "term", "tf", "df", (F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("w"))
 
 
+def counted_words(words: Column) -> Column:
+    """Array of (term, tf), one for each distinct word, in order."""
+    starts = lambda s: F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0))), lambda k: (k < F.size(s)) & ~F.get(s, k).eqNullSafe(F.get(s, k - 1)))
+    count = lambda s: once(starts(s), lambda at: F.transform(at, lambda k, i: F.struct(F.get(s, k).alias("term"), (F.coalesce(F.get(at, i + 1), F.size(s)) - k).cast("long").alias("tf"))))
+    return once(F.sort_array(words), count)
+
+
 def class_of(text: str) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def _postings(rows: DataFrame, stop: list[str]) -> DataFrame:
-    """rows: (at, text). (class, term, df, u, rest, k) of the distinct texts: weight in the unit vector,
-    norm squared of the words after it by (df, term), and its place among the words that others may share.
-    Document frequencies count all rows, copies included; words of one row only are left out."""
+def _classes(rows: DataFrame, stop: list[str]) -> DataFrame:
+    """rows: (at, text). (id, class, copies, words) of the distinct texts, numbered: postings go by short
+    numbers, in order where they are made. A class is one row, so its words are counted there."""
     classes = rows.select(class_of("text").alias("class"), "text").groupBy("class").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    tf = classes.select("class", "copies", F.explode(significant_words(F.col("text"), stop)).alias("term")).groupBy("class", "copies", "term").agg(F.count(F.lit(1)).alias("tf"))
+    numbered = classes.select(F.monotonically_increasing_id().alias("id"), "class", "copies", counted_words(significant_words(F.col("text"), stop)).alias("words"))
+    return written(numbered, new_path(rows.sparkSession, "text-classes"))
+
+
+def _postings(classes: DataFrame) -> DataFrame:
+    """(class, term, df, u, rest, k) of numbered classes: weight in the unit vector, norm squared of the
+    words after it by (df, term), and its place among the words that others may share. Document
+    frequencies count all rows, copies included; words of one row only are left out."""
+    tf = classes.select(F.col("id").alias("class"), "copies", F.inline("words"))
     df = tf.groupBy("term").agg(F.sum("copies").alias("df"))
-    w = tf.join(df, "term").withColumn("n", F.lit(rows.count())).select("class", "term", "df", (F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("w"))
+    w = tf.join(df, "term").withColumn("n", F.lit(classes.agg(F.sum("copies")).first()[0] or 0)).select("class", "term", "df", (F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("w"))
     own = Window.partitionBy("class")
     # From the frequent end, so that sums of what follows are running sums.
     after = own.orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, -1)
@@ -115,9 +131,9 @@ def _meet_in_chunks(p: DataFrame, t: float) -> DataFrame:
         alike = table.column("i")[0].as_py() == table.column("j")[0].as_py()
         keep = x < y if alike else x != y
         x, y = x[keep], y[keep]
-        return pa.table({"x": pa.array(np.where(x < y, x, y), pa.binary()), "y": pa.array(np.where(x < y, y, x), pa.binary())})
+        return pa.table({"x": pa.array(np.where(x < y, x, y)), "y": pa.array(np.where(x < y, y, x))})
 
-    return left.unionByName(right).groupBy("term", "i", "j").applyInArrow(product, "x binary, y binary")
+    return left.unionByName(right).groupBy("term", "i", "j").applyInArrow(product, "x long, y long")
 
 
 def _rising(spark, postings: DataFrame, heads: DataFrame, threshold: float, most: int, trace: list) -> list:
@@ -141,7 +157,6 @@ def _rising(spark, postings: DataFrame, heads: DataFrame, threshold: float, most
 
     copies = heads.where("two is not null").join(p.select("class").distinct(), "class", "left_semi")
     take(copies.select(F.col("class").alias("x"), F.col("class").alias("y"), F.lit(1.0).alias("sim"), F.col("one").alias("a"), F.col("two").alias("b")))
-    a, b = p.select(F.col("class").alias("x"), "term", F.col("u").alias("ua")), p.select(F.col("class").alias("y"), "term", F.col("u").alias("ub"))
     seen = None
     total, largest = p.agg(F.count(F.lit(1)), F.max("df")).first()
     lows = [1]
@@ -170,7 +185,16 @@ def _rising(spark, postings: DataFrame, heads: DataFrame, threshold: float, most
         if not compared:
             continue
         seen = met if seen is None else seen.unionByName(met)
-        sims = met.join(a, "x").join(b, ["y", "term"]).groupBy("x", "y").agg(F.sum(F.col("ua") * F.col("ub")).alias("sim")).where(F.col("sim") >= t)
+        # Postings of the classes that met alone: where those are few, no others are shuffled.
+        both = met.select(F.explode(F.array("x", "y")).alias("class")).distinct()
+        few = compared <= MET
+        if few:
+            met, both = F.broadcast(met), F.broadcast(written(both, new_path(spark, "met-classes")))
+        mine = p.join(both, "class", "left_semi").select("class", "term", "u")
+        if few:
+            mine = written(mine, new_path(spark, "met-postings"))
+        a, b = (mine.select(F.col("class").alias(x), "term", F.col("u").alias(f"u{z}")) for x, z in (("x", "a"), ("y", "b")))
+        sims = a.join(met, "x").join(b, ["y", "term"]).groupBy("x", "y").agg(F.sum(F.col("ua") * F.col("ub")).alias("sim")).where(F.col("sim") >= t)
         # least() skips nulls: an option with a missing member would name one twice, in one document.
         placed = sims.join(h("x", "p"), "x").join(h("y", "q"), "y").withColumn("least", F.array_min(options)).where("least is not null")
         take(placed.select("x", "y", "sim", F.col("least.a").alias("a"), F.col("least.b").alias("b")))
@@ -196,7 +220,14 @@ def candidate_pairs(rows: DataFrame, threshold: float = 0.12, most: int = 80, st
     found: list = []
     one = heads.agg(F.min("d1").alias("d1"), F.max("d1").alias("d2"), F.count("two").alias("copies")).first()
     if one["copies"] or one["d1"] != one["d2"]:
-        found = _rising(spark, _postings(base, stop), heads, threshold, most, [] if trace is None else trace)
+        classes = _classes(base, stop)
+        numbered = written(heads.join(classes.select("id", "class"), "class").drop("class").withColumnRenamed("id", "class"), new_path(spark, "numbered-heads"))
+        found = _rising(spark, _postings(classes), numbered, threshold, most, [] if trace is None else trace)
+    if found:
+        # Back from numbers to the texts' own keys, of at most 2 * ``most`` classes.
+        few = sorted({c for r in found for c in (r["x"], r["y"])})
+        keys = {r["id"]: bytes(r["class"]) for r in classes.where(F.col("id").isin(few)).select("id", "class").collect()}
+        found = [(keys[r["x"]], keys[r["y"]], r["similarity"], r["a"], r["b"]) for r in found]
     best = spark.createDataFrame(found, best_schema)
     # Members of the few classes left: at most ``most`` + 1 places of at most ``most`` + 1 documents.
     few = own.join(F.broadcast(best.select(F.explode(F.array("x", "y")).alias("class")).distinct()), "class")

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.operators import neardup
 from corpusloom.plans.queries import _one_section
@@ -73,3 +74,14 @@ def test_rows_compared_follow_the_input(spark):
         neardup.candidate_pairs(_one_section(spark, f"/root/testdata/{sf}"), trace=trace).collect()
         compared[sf] = sum(n for *_, n in trace)
     assert compared["sf0.1"] <= 10 * max(compared["sf0.01"], 100) and compared["sf0.01"] <= 10 * max(compared["sf0.001"], 100)
+
+
+def test_words_of_a_class_are_counted_in_its_row(spark):
+    d = spark.createDataFrame([(0, ["b", "a", "b", "", "a", "b"]), (1, ["x"]), (2, [])], "k int, w array<string>")
+    got = {r["k"]: [tuple(x) for x in r["c"]] for r in d.select("k", neardup.counted_words(F.col("w")).alias("c")).collect()}
+    assert got == {0: [("", 1), ("a", 2), ("b", 3)], 1: [("x", 1)], 2: []}
+    rows = spark.createDataFrame([(0, "alpha beta beta"), (1, "alpha beta beta"), (2, "beta gamma")], "at int, text string")
+    # Postings carry short numbers, and copies count in the document frequencies.
+    p = neardup._postings(neardup._classes(rows, ["zzz"]))
+    assert dict(p.dtypes)["class"] == "bigint"
+    assert sorted((r["term"], r["df"]) for r in p.collect()) == [("alpha", 2), ("beta", 3), ("beta", 3)]
