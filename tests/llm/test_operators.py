@@ -723,3 +723,18 @@ def test_pipeline_mixing_reaches_target_shares(spark):
     assert all(want[k] - 61 < got[k] <= want[k] + 1e-6 for k in want)
     share = lambda x, s: sum(n for k, n in x.items() if k[0] == s) / sum(x.values())
     assert abs(share(got, "hot") - share(want, "hot")) < 0.01 < share(held, "hot") - share(got, "hot") - 0.04
+
+
+@pytest.mark.parametrize("kind", ["scale 1e25", "scale 1e-25", "offset", "wide"])
+def test_nearest_of_other_scales_offsets_and_widths(spark, kind):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 384 if kind == "wide" else 16))
+    x = {"scale 1e25": x * 1e25, "scale 1e-25": x * 1e-25, "offset": x + 1e5, "wide": x}[kind]
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    got = ann.search(d, d.where("vec_id % 100 = 0"), 20).groupBy("query_id").agg(F.collect_list("score").alias("s")).collect()
+    found = 0
+    for r in got:
+        score = x @ x[r["query_id"]]
+        score[r["query_id"]] = -np.inf
+        found += int((np.array(r["s"]) >= np.sort(score)[-20] * (1 - 1e-12)).sum())
+    assert len(got) == 30 and found >= 0.9 * 600
