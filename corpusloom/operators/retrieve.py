@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import first_heading, round_half_up, snippet, trim, words
+from ..sources.shared import new_path, written
 
 K1, B = 1.5, 0.75
 
@@ -39,7 +40,8 @@ def search(chunks: DataFrame, queries: DataFrame, text: str = "text", key: str =
     """
     asked = queries.select("query_id", words(trim(F.coalesce(F.col("query"), F.lit("")))).alias("q")).where(F.size("q") > 0)
     terms = asked.select("query_id", F.explode("q").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    split = chunks.select(*corpus, key, words(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
+    # Written: lengths, frequencies and weights are found from words that are cut once.
+    split = written(chunks.select(*corpus, key, words(F.col(text)).alias("w")).withColumn("dl", F.size("w")), new_path(chunks.sparkSession, "chunk-words"))
     total = split.groupBy(*corpus).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_len")).where("avg_len > 0")
     wanted = terms.select("term").distinct()
     tf = split.select(*corpus, key, "dl", F.explode("w").alias("term")).join(wanted, "term", "left_semi").groupBy(*corpus, key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
