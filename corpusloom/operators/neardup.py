@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.config import STOP_WORDS
-from ..functions.text import blocks, first_h1, once, round_half_up, significant_words, units
+from ..functions.text import blocks, counted_words, first_h1, round_half_up, significant_words, units
 from ..sources.shared import new_path, written
 
 #: A block of words goes up to so many times the document frequency of the block before.
@@ -57,13 +57,6 @@ def weights(rows: DataFrame, keys: list[str], text: str = "text", stop: list[str
     return joined.select(*keys, "term", "tf", "df", (F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("w"))
 
 
-def counted_words(words: Column) -> Column:
-    """Array of (term, tf), one for each distinct word, in order."""
-    starts = lambda s: F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0))), lambda k: (k < F.size(s)) & ~F.get(s, k).eqNullSafe(F.get(s, k - 1)))
-    count = lambda s: once(starts(s), lambda at: F.transform(at, lambda k, i: F.struct(F.get(s, k).alias("term"), (F.coalesce(F.get(at, i + 1), F.size(s)) - k).cast("long").alias("tf"))))
-    return once(F.sort_array(words), count)
-
-
 def class_of(text: str) -> Column:
     return F.unhex(F.sha2(text, 256))
 

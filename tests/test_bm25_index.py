@@ -63,3 +63,36 @@ def test_only_the_words_folders_are_read(spark, tmp_path):
     asked = spark.createDataFrame([(1, "de")], "query_id int, query string")
     plan = bm25_index.search(index, asked, fill=False)._jdf.queryExecution().optimizedPlan().toString()
     assert "bucket" in plan and len(list(tmp_path.glob("i/blocks/bucket=*"))) == 16
+
+
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_corpora_with_and_without_bounds(spark, tmp_path, monkeypatch, small):
+    """Corpora of a few stripes are scored at once, larger ones by bounds; parts and slices of queries are small."""
+    monkeypatch.setattr(bm25_index, "SMALL", small)
+    monkeypatch.setattr(bm25_index, "PART", 16)
+    monkeypatch.setattr(bm25_index, "TOGETHER", 2)
+    monkeypatch.setattr(bm25_index, "SEEDS", 2)
+    chunks = spark.createDataFrame(corpus(200, 9), "part int, chunk_index long, text string")
+    asked = spark.createDataFrame([(1, "w1 w2 w30"), (2, "all"), (3, "w3 w3 w3 all W1!"), (4, "w39"), (5, "w0 w5")], "query_id int, query string")
+    want = rows(retrieve.search(chunks.withColumn("text", F.coalesce("text", F.lit(""))), asked, k=3, corpus=["part"]))
+    trace = []
+    index = bm25_index.build(chunks, f"file://{tmp_path}/i", corpus=["part"], per_stripe=4)
+    assert rows(bm25_index.search(index, asked, k=3, trace=trace)) == want
+    assert 0 < trace[0][1] <= trace[0][0]
+
+
+def test_chunks_are_made_once_and_questions_are_not_shuffled(spark, tmp_path):
+    """The lineage of the chunks runs once however many tables are built; only parts are shuffled for their scores."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    chunks = spark.createDataFrame(corpus(120, 4), "part int, chunk_index long, text string").mapInArrow(count, "part int, chunk_index long, text string")
+    index = bm25_index.build(chunks, f"file://{tmp_path}/i", corpus=["part"])
+    assert made.value == 120
+    asked = spark.range(50).select(F.col("id").alias("query_id"), F.lit("all w1 w2").alias("query"))
+    plan = bm25_index.search(index, asked, fill=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "qf" not in plan
