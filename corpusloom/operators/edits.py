@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import collapse_blank_lines, first_h1, rtrim
+from ..sources.shared import new_path, written
 
 
 def occurs(markdown: Column, part: Column) -> Column:
@@ -64,7 +65,8 @@ def commit(docs: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     their order, each both sides or none. (history, report): history holds version 0 of every
     document and version 1 of those that an edit changed; report adds ``state`` to every edit: done,
     stale (a section no longer stands in its document) or claimed (by an earlier edit)."""
-    named = admissible(edits)
+    # Written, as the claims read the edits three times.
+    named = admissible(written(edits, new_path(edits.sparkSession, "edits")))
     a, b = docs.select(F.col("doc_index").alias("a_doc"), F.col("markdown").alias("a_md")), docs.select(F.col("doc_index").alias("b_doc"), F.col("markdown").alias("b_md"))
     found = named.join(a, "a_doc", "left").join(b, "b_doc", "left")
     both = F.coalesce(occurs(F.col("a_md"), F.col("a_text")) & occurs(F.col("b_md"), F.col("b_text")), F.lit(False))
