@@ -66,8 +66,13 @@ def insert_term(text: Column, term: Column) -> Column:
 def apply(docs: DataFrame, markdown: str, chunk: str, term: str) -> DataFrame:
     """Adds updated and applied: the chunk's first literal occurrence in the document replaced by
     the chunk with the term; applied tells the truth if the chunk is not there."""
-    new = insert_term(F.col(chunk), F.col(term))
-    at = F.position(F.col(chunk), F.col(markdown))
-    done = (new != F.col(chunk)) & (at > 0) & (F.col(chunk) != "")
-    updated = F.concat(F.substr(F.col(markdown), F.lit(1), at - 1), new, F.substr(F.col(markdown), at + F.length(chunk)))
-    return docs.withColumn("updated", F.when(done, updated).otherwise(F.col(markdown))).withColumn("applied", F.coalesce(done, F.lit(False)))
+    # What stands before the chunk is found once a row and by bytes: positions in characters would be counted
+    # from the start of the document each time.
+    placed = docs.withColumn("_new", insert_term(F.col(chunk), F.col(term)))
+    head = F.call_function("substring_index", F.col(markdown), F.col(chunk), F.lit(1))
+    placed = placed.withColumn("_head", F.when((F.col("_new") != F.col(chunk)) & (F.col(chunk) != ""), head))
+    # Without an occurrence that is the whole document.
+    done = F.coalesce(F.octet_length("_head") < F.octet_length(markdown), F.lit(False))
+    rest = F.substr(F.col(markdown).cast("binary"), F.octet_length("_head") + F.octet_length(chunk) + 1).cast("string")
+    updated = F.concat(F.col("_head"), F.col("_new"), rest)
+    return placed.withColumn("updated", F.when(done, updated).otherwise(F.col(markdown))).withColumn("applied", done).drop("_new", "_head")
