@@ -87,12 +87,11 @@ def build(chunks: DataFrame, path: str, text: str = "text", key: str = "chunk_in
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_len")))
     stripe = F.col("level") * F.lit(1 << 40) + F.pmod(F.xxhash64(key), F.ceil(F.col("m") / F.lit(per_stripe)))
     placed = placed.withColumn("stripe", stripe).withColumn("part_", F.pmod(F.xxhash64("stripe"), F.ceil(F.col("n") / F.lit(PART))))
-    rows = placed.select(*own, key, "dl", "avg_len", "stripe", "part_", F.inline("words"))
-    rows = rows.select(*own, "part_", "stripe", "term", F.struct(F.col(key).alias("key"), weight.alias("weight")).alias("p"))
+    rows = placed.select(*own, F.col(key).alias("key"), "dl", "avg_len", "stripe", "part_", F.inline("words"))
     # A word's blocks go to a few files, so that one of all chunks isn't one task's. The groups lie within
-    # what is dealt, so postings are shuffled this once.
+    # what is dealt, so postings are shuffled this once, as counts; weights are hardly two alike and take more room.
     rows = rows.withColumn("bucket", _bucket(F.col("term"), buckets)).withColumn("deal", F.pmod(F.xxhash64("stripe"), F.lit(4)))
-    blocks = rows.repartition("bucket", "deal").groupBy("bucket", "deal", *own, "term", "part_", "stripe").agg(F.max("p.weight").alias("top"), F.collect_list("p").alias("postings"))
+    blocks = rows.repartition("bucket", "deal").groupBy("bucket", "deal", *own, "term", "part_", "stripe").agg(F.max(weight).alias("top"), F.collect_list(F.struct("key", weight.alias("weight"))).alias("postings"))
     dealt = blocks.drop("deal").select(*own, "term", "part_", "stripe", "top", "postings", "bucket").sortWithinPartitions("bucket", "term")
     dealt.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/blocks")
     about = json.dumps({"key": key, "corpus": corpus, "buckets": buckets})
