@@ -75,7 +75,9 @@ def _postings(classes: DataFrame) -> DataFrame:
     frequencies count all rows, copies included; words of one row only are left out."""
     tf = classes.select(F.col("id").alias("class"), "copies", F.inline("words"))
     df = tf.groupBy("term").agg(F.sum("copies").alias("df"))
-    w = tf.join(df, "term").withColumn("n", F.lit(classes.agg(F.sum("copies")).first()[0] or 0)).select("class", "term", "df", (F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("w"))
+    # Counts are shuffled and weights found after: hardly two of these are alike.
+    counted = tf.join(df, "term").select("class", "term", "df", "tf").repartition("class").withColumn("n", F.lit(classes.agg(F.sum("copies")).first()[0] or 0))
+    w = counted.select("class", "term", "df", (F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("w"))
     own = Window.partitionBy("class")
     # From the frequent end, so that sums of what follows are running sums.
     after = own.orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, -1)
