@@ -83,8 +83,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarit
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """A row for each (doc_id, text): doc_id, text_key, n_links, class_id, removed_lines. n_links:
-    other lines in the classes of its lines; class_id: the smallest doc_id reachable over lines of
+    """A row for each (doc_id, text): doc_id, text_key, n_links, n_matches, class_id, removed_lines. n_links:
+    other lines in the classes of its lines; n_matches: of these, those that match the line itself, for
+    each of its lines, so every pair of lines that match counts once at each end; class_id: the smallest doc_id reachable over lines of
     one class; removed_lines: the numbers of its lines that match earlier ones. Documents none of
     whose lines is linked are absent."""
     found = setjoin.find(docs, lines, similarity, id_col, text)
@@ -94,25 +95,29 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar
     # Nodes of classes of two lines or more, with the class and its number of lines.
     some = found.heads.select("nid", "node", "copies", "doc_id").join(setjoin.roots(scratch, links), "nid", "left")
     some = scratch.write(some.where("copies > 1 or root is not null").select("nid", "node", "copies", "doc_id", F.coalesce("root", "nid").alias("root")), "class-nodes")
-    whole = scratch.write(some.groupBy("root").agg(F.sum("copies").alias("n"), F.min("doc_id").alias("root_doc")), "class-sizes")
-    some = scratch.write(some.join(counted(whole), "root").select("node", (F.col("n") - 1).alias("others"), "root_doc"), "class-of-node")
+    whole = scratch.write(some.groupBy("root").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("nodes"), F.min("doc_id").alias("root_doc")), "class-sizes")
+    some = scratch.write(some.drop("doc_id").join(counted(whole), "root").select("nid", "root", "nodes", "copies", "node", (F.col("n") - 1).alias("others"), "root_doc"), "class-of-node")
+    # All lines of a class of one or two nodes match; of more nodes, those that are compared.
+    compared = setjoin.matched(found, some.where("nodes > 2")).withColumn("matches", F.col("matches") + F.col("copies") - 1)
+    some = some.where("nodes <= 2").select("node", "others", "root_doc", F.col("others").alias("matches")).unionByName(compared.select("node", "others", "root_doc", "matches"))
+    some = scratch.write(some, "matches-of-node")
     members = found.places.join(counted(some), "node")
-    held = members.groupBy("doc_id", "text_key", "root_doc").agg(F.sum("others").alias("others"))
+    held = members.groupBy("doc_id", "text_key", "root_doc").agg(F.sum("others").alias("others"), F.sum("matches").alias("matches"))
     held = scratch.write(held, "documents-of-classes")
     cc = scratch.write(connected_components(held.select("doc_id", "root_doc").distinct(), "doc_id", "root_doc"), "document-classes")
-    out = held.groupBy("doc_id", "text_key").agg(F.sum("others").alias("n_links"))
+    out = held.groupBy("doc_id", "text_key").agg(F.sum("others").alias("n_links"), F.sum("matches").alias("n_matches"))
     out = out.join(cc.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("class_id", F.coalesce("root", "doc_id"))
     out = out.join(removed, (F.col("doc_id") == F.col("gone_id")) & (F.col("text_key") == F.col("gone_key")), "left")
-    out = keep.write(out.select("doc_id", "text_key", "n_links", "class_id", F.sort_array(F.coalesce("gone_lines", F.array().cast("array<int>"))).alias("removed_lines")), "line-classes")
+    out = keep.write(out.select("doc_id", "text_key", "n_links", "n_matches", "class_id", F.sort_array(F.coalesce("gone_lines", F.array().cast("array<int>"))).alias("removed_lines")), "line-classes")
     scratch.drop()
     return out
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """Per document: n_lines (lines with a word), n_links, class_id and removed_lines of ``classes``;
+    """Per document: n_lines (lines with a word), n_links, n_matches, class_id and removed_lines of ``classes``;
     a document without links is a class of its own."""
     docs = table(spark, sf_dir, "documents")
     number = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: has_word(x)))
-    found = classes(docs).select(F.col("doc_id").alias("at"), "text_key", "n_links", "class_id", F.array_join("removed_lines", ",").alias("removed_lines"))
+    found = classes(docs).select(F.col("doc_id").alias("at"), "text_key", "n_links", "n_matches", "class_id", F.array_join("removed_lines", ",").alias("removed_lines"))
     out = docs.select("doc_id", F.xxhash64("text").alias("key"), number.cast("long").alias("n_lines")).join(found, (F.col("doc_id") == F.col("at")) & (F.col("key") == F.col("text_key")), "left")
-    return out.select("doc_id", "n_lines", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("removed_lines", F.lit("")).alias("removed_lines"))
+    return out.select("doc_id", "n_lines", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("removed_lines", F.lit("")).alias("removed_lines"))

@@ -12,7 +12,8 @@ the later node has its match, or until both ends lie in one component. The first
 each node and token the earliest candidate; later rounds take eight and at last all candidates that
 are still needed, from the nodes that have candidates at all and under a wider bound from parity. So a
 group of copies gives rows in proportion to its size times its number of chunks (below), and no link
-is lost. Every pair taken is verified on the whole sets.
+is lost. Every pair taken is verified on the whole sets. The pairs that are not needed can be counted
+afterwards: each lies within one component, where ``matched`` compares the whole sets.
 
 Rarity comes from a table of fixed size: counts of tokens over all texts in ``2**CELLS`` cells.
 Any order gives the same result; cells shared by words cost time only. A token whose group would be
@@ -45,6 +46,8 @@ COUNT = [("n", np.dtype(np.int64), 1)]
 SMALL = 100_000
 #: Nodes with candidates up to which their numbers, 8 bytes each, are broadcast.
 MET = 1_000_000
+#: Members of a component that are compared with as many others at a time.
+PIECE = 512
 #: Long words of the filter that says which sets are fetched: 32 MB at most.
 FILTER = 1 << 22
 
@@ -84,7 +87,8 @@ def rarity(texts: DataFrame, split: Splitter) -> np.ndarray:
 class Found:
     """``places``: (node, doc_id, text_key, line), one row for each set of each text. ``heads``:
     (nid, node, doc_id, text_key, line, size, bits, bits2, print, prefix, common, copies), one row for each
-    node. ``scratch`` holds what was written on the way."""
+    node. ``scratch`` holds what was written on the way. ``sets``: what ``fetch`` gives for all nodes that
+    have candidates, once ``joined`` has run."""
 
     rows: DataFrame
     split: Splitter
@@ -93,6 +97,7 @@ class Found:
     places: DataFrame
     heads: DataFrame
     scratch: Scratch
+    sets: DataFrame | None = None
 
 
 def units(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -189,7 +194,7 @@ def candidates(rows: dict[str, np.ndarray], similarity: float, most: int | None,
     """rows: whole groups, by key; root, open and sketch may be absent. (later, earlier, more):
     needed pairs that pass the filters, of each later row the earliest (``most`` 1), ``most``, or
     all; a row with candidates but none that is earlier and taken has the pair with -1. more: the
-    row has candidates not given."""
+    row has candidates not given. Pairs that pass but are not needed are left to ``matched``."""
     key, nid, position = rows["key"], rows["nid"], rows["position"].astype(np.int64)
     bits, bits2 = rows["bits"].view(np.uint64), rows["bits2"].view(np.uint64)
     size = key & np.int64(0xFFFFFFFF)
@@ -488,9 +493,79 @@ def joined(found: Found, earlier: bool, connect: bool, seeds: DataFrame | None =
         scratch.forget("set-pairs")
         if done:
             break
+    found.sets = sets
     return links
 
 
+def _overlapping(sets: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """sets: tokens, their offsets, copies and piece, by size; one piece or two. For each set the
+    copies of the sets it matches: of its own piece if there is one, else of the other."""
+    words, at, copies, piece = sets
+    token, word = np.unique(words, return_inverse=True)
+    size, total, here = np.diff(at), np.zeros(len(copies), np.int64), np.zeros(len(token), bool)
+    alone = bool((piece == piece[0]).all())
+    low = np.searchsorted(size, tk.ceil(similarity * size))
+    for k in range(len(size)):
+        # The smaller of two counts for both.
+        a = low[k]
+        if a == k:
+            continue
+        here[word[at[k] : at[k + 1]]] = True
+        both = np.add.reduceat(here[word[at[a] : at[k]]], at[a:k] - at[a], dtype=np.int64)
+        here[word[at[k] : at[k + 1]]] = False
+        ok = both >= tk.ceil(similarity / (1 + similarity) * (size[k] + size[a:k]))
+        if not alone:
+            ok &= piece[a:k] != piece[k]
+        total[k] += copies[a:k][ok].sum()
+        total[a:k][ok] += copies[k]
+    return total
+
+
+def matched(found: Found, nodes: DataFrame) -> DataFrame:
+    """nodes: nid, root, copies and the number of ``nodes`` of the component, for all nodes of some
+    components; more columns may follow. Those columns and ``matches``: the copies of all other nodes
+    whose similarity is high enough. Every pair of pieces of a component is a group, so a task holds two."""
+    spark, s = nodes.sparkSession, found.similarity
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    met = found.sets.select("nid", "words").join(counted(nodes), "nid")
+    c = F.ceil(F.col("nodes") / PIECE).cast("int")
+    met = met.withColumn("mine", F.pmod(F.xxhash64("nid"), c).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), c - 1)))
+    group = F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other"))
+    # Within the pair of a piece and another, only pairs across count; the piece has a group of its own.
+    met = met.select(group.alias("group"), F.octet_length("words").alias("width"), "mine", "root", "words", "nid", "copies", *[x for x in nodes.columns if x not in ("nid", "root", "copies", "nodes")])
+    dealt = met.repartition(n, "group").sortWithinPartitions("group", "root", "width")
+    kept = [x for x in nodes.columns if x not in ("root", "nodes")]
+    schema = ", ".join([*[f"{x} {nodes.schema[x].dataType.simpleString()}" for x in kept], "matches long"])
+
+    def compared(rows: pa.RecordBatch) -> pa.RecordBatch:
+        words, at = tk.unpacked(rows.column("words"), np.uint64)
+        group, root, copies, piece = (rows.column(x).to_numpy() for x in ("group", "root", "copies", "mine"))
+        start = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (root[1:] != root[:-1])])
+        total = np.zeros(len(group), np.int64)
+        for i, j in zip(start, np.r_[start[1:], len(group)]):
+            total[i:j] = _overlapping((words[at[i] : at[j]], at[i : j + 1] - at[i], copies[i:j], piece[i:j]), s)
+        return pa.RecordBatch.from_arrays([*[rows.column(x) for x in kept], pa.array(total)], [*kept, "matches"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = batch.column("group").to_numpy()
+            if held and held[0].column("group")[0].as_py() != group[0]:
+                yield compared(pa.concat_batches(held))
+                held = []
+            cut = int(np.flatnonzero(group == group[-1])[0])  # sorted: the last group is the tail
+            if cut:
+                yield compared(pa.concat_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield compared(pa.concat_batches(held))
+
+    return dealt.mapInArrow(run, schema).groupBy(*kept).agg(F.sum("matches").alias("matches"))
+
+
 def _named(found: Found, pairs: DataFrame) -> DataFrame:
     nodes = pairs.select(F.explode(F.array("later", "earlier")).alias("nid")).distinct()
     return found.scratch.write(found.heads.select("nid", "node", "text_key", "line").join(nodes, "nid", "left_semi"), "wanted-nodes")

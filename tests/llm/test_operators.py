@@ -516,6 +516,23 @@ def test_op9_classes_equal_brute_force_for_any_partitions(spark):
         assert got == {k: v for k, v in want.items() if v[0]}
 
 
+@pytest.mark.parametrize("piece", [512, 4])
+def test_op9_counts_every_pair_of_lines_that_match(spark, monkeypatch, piece):
+    """Chains, where the ends of a class do not match, and groups of many copies; no pair is left out."""
+    monkeypatch.setattr(setjoin, "PIECE", piece)  # classes whole, or cut into pieces
+    rng = random.Random(11)
+    rows = [(i, "\n".join(" ".join(f"c{g}w{k}" for k in range(start, start + 20)) for g, start in ((rng.randrange(4), rng.randrange(12)) for _ in range(4)))) for i in range(50)]
+    rows += [(100 + i, " ".join(f"n{k}" for k in range(12)) + f" own{i}" * (i % 3 > 0)) for i in range(30)] + [(200, "Pair of lines one two"), (201, "pair of lines one two three"), (202, None)]
+    lines = [(i, frozenset(x.lower().split())) for i, t in rows for x in (t or "").split("\n") if x]
+    want = collections.Counter()
+    for i, v in lines:
+        want[i] += sum(len(v & w) >= 0.8 * len(v | w) - 1e-9 for _, w in lines) - 1
+    for parts in (1, 5):
+        found = linededup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert {r["doc_id"]: r["n_matches"] for r in found} == {i: n for i, n in want.items() if n}
+        assert sum(r["n_links"] for r in found) > sum(want.values())
+
+
 def test_op9_ids_that_repeat_lose_no_other_line(spark):
     rows = [(1, "the line x"), (2, "the line x"), (2, "another line y"), (0, "first"), (2**40, "last")]
     got = sorted((r["doc_id"], r["text"]) for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
