@@ -18,11 +18,11 @@ batches change a result.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin
-from .common import Scratch, counted, has_word, materialize, table
+from .common import Scratch, among, counted, has_word, materialize, table
 from .components import connected_components
 from .tokens import lines
 
@@ -72,14 +72,19 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarit
     docs has it) becomes the new number of characters. No row is dropped."""
     gone = materialize(_by_document(removed_lines(docs, id_col, text, similarity)), "gone-lines")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(text).alias("own_key"))
-    row = row.join(gone, (F.col("own_id") == F.col("gone_id")) & (F.col("own_key") == F.col("gone_key")), "left")
+    # Whole texts are shuffled only if they lose lines.
+    row = row.withColumn("loses", among(gone.select(F.xxhash64("gone_id", "gone_key").alias("key")))(F.xxhash64("own_id", "own_key")))
     body = F.col(f"row.`{text}`")
-    row = row.withColumn("left_text", F.pandas_udf(_without, "string")(F.when(F.col("gone_lines").isNotNull(), body), "gone_lines"))
-    new = F.when(F.col("gone_lines").isNull(), body).otherwise(F.col("left_text"))
-    out = {c: F.col(f"row.`{c}`") for c in docs.columns} | {text: new}
-    if size in docs.columns:
-        out[size] = F.length(new).cast(docs.schema[size].dataType)
-    return row.select(*[v.alias(k) for k, v in out.items()])
+
+    def given(rows: DataFrame, new: Column) -> DataFrame:
+        out = {c: F.col(f"row.`{c}`") for c in docs.columns} | {text: new}
+        if size in docs.columns:
+            out[size] = F.length(new).cast(docs.schema[size].dataType)
+        return rows.select(*[v.alias(k) for k, v in out.items()])
+
+    met = row.where("loses").join(gone, (F.col("own_id") == F.col("gone_id")) & (F.col("own_key") == F.col("gone_key")), "left")
+    met = met.withColumn("left_text", F.pandas_udf(_without, "string")(F.when(F.col("gone_lines").isNotNull(), body), "gone_lines"))
+    return given(row.where(~F.col("loses")), body).unionByName(given(met, F.when(F.col("gone_lines").isNull(), body).otherwise(F.col("left_text"))))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

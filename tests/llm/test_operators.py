@@ -539,6 +539,26 @@ def test_op9_ids_that_repeat_lose_no_other_line(spark):
     assert got == [(0, "first"), (1, "the line x"), (2, ""), (2, "another line y"), (2**40, "last")]
 
 
+def test_line_dedup_shuffles_only_texts_that_lose_lines(spark):
+    from corpusloom.llm.common import among
+
+    keys = spark.range(3000).select(F.xxhash64("id").alias("key"))
+    test = among(keys)
+    assert keys.where(test(F.col("key"))).count() == 3000
+    assert spark.range(3000, 103000).where(test(F.xxhash64("id"))).count() < 10_000
+    rows = [(i, f"own words of number {i}\nshared line of six words {i % 3}\nlast own line {i} {i}", 7) for i in range(9)] + [(None, "shared line of six words 1", 7), (50, None, 7), (51, "", 7), (52, "alone here", 7)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string, n_chars int"))
+        got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in found.collect()}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = {i: t if i is None or i < 3 or i > 8 else "\n".join(t.split("\n")[::2]) for i, t, _ in rows}
+    assert got == {i: (t, None if t is None else len(t)) for i, t in want.items()}
+    assert "SortMergeJoin" in plan and "Union" in plan  # texts that lose nothing pass beside the join
+
+
 def test_op9_query_counts_lines_and_links(spark, tmp_path):
     rows = [(1, "A b c\n\nd e"), (2, "x y\na B c"), (3, None), (4, "q")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
