@@ -17,6 +17,8 @@ batches change a result.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,17 +98,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar
     found = setjoin.find(docs, lines, similarity, id_col, text)
     scratch, keep = found.scratch, Scratch(docs.sparkSession)
     links = setjoin.joined(found, earlier=True, connect=True)
-    removed = scratch.write(_by_document(_removed(found, links)), "gone-lines")
     # Nodes of classes of two lines or more, with the class and its number of lines.
-    some = found.heads.select("nid", "node", "copies", "doc_id").join(setjoin.roots(scratch, links), "nid", "left")
-    some = scratch.write(some.where("copies > 1 or root is not null").select("nid", "node", "copies", "doc_id", F.coalesce("root", "nid").alias("root")), "class-nodes")
+    some = found.heads.select("nid", "node", "copies", *PLACE).join(setjoin.roots(scratch, links), "nid", "left")
+    some = scratch.write(some.where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "nid")), "class-nodes")
+    # No other line has a match, so all heads and places are looked through once.
+    places = scratch.write(found.places.join(counted(some.select("node")), "node", "left_semi"), "class-places")
+    removed = scratch.write(_by_document(_removed(replace(found, heads=some, places=places), links)), "gone-lines")
     whole = scratch.write(some.groupBy("root").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("nodes"), F.min("doc_id").alias("root_doc")), "class-sizes")
-    some = scratch.write(some.drop("doc_id").join(counted(whole), "root").select("nid", "root", "nodes", "copies", "node", (F.col("n") - 1).alias("others"), "root_doc"), "class-of-node")
+    some = scratch.write(some.drop(*PLACE).join(counted(whole), "root").select("nid", "root", "nodes", "copies", "node", (F.col("n") - 1).alias("others"), "root_doc"), "class-of-node")
     # All lines of a class of one or two nodes match; of more nodes, those that are compared.
     compared = setjoin.matched(found, some.where("nodes > 2")).withColumn("matches", F.col("matches") + F.col("copies") - 1)
     some = some.where("nodes <= 2").select("node", "others", "root_doc", F.col("others").alias("matches")).unionByName(compared.select("node", "others", "root_doc", "matches"))
     some = scratch.write(some, "matches-of-node")
-    members = found.places.join(counted(some), "node")
+    members = places.join(counted(some), "node")
     held = members.groupBy("doc_id", "text_key", "root_doc").agg(F.sum("others").alias("others"), F.sum("matches").alias("matches"))
     held = scratch.write(held, "documents-of-classes")
     cc = scratch.write(connected_components(held.select("doc_id", "root_doc").distinct(), "doc_id", "root_doc"), "document-classes")

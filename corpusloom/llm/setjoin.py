@@ -51,7 +51,8 @@ PIECE = 512
 #: Long words of the filter that says which sets are fetched: 32 MB at most.
 FILTER = 1 << 22
 
-Splitter = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: Of texts, and optionally of which sets (see ``tokens``), row, line and number of each token.
+Splitter = Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def rarity(texts: DataFrame, split: Splitter) -> np.ndarray:
@@ -407,12 +408,14 @@ def fetch(found: Found, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, line, number = split(batch.column(0))
-            if kept is not None and len(row):
-                first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (line[1:] != line[:-1])])
-                k, bit = _cell(batch.column(1).to_numpy(zero_copy_only=False)[row[first]], line[first], size)
-                take = np.repeat(kept.value[k] & bit != 0, np.diff(np.r_[first, len(row)]))
-                row, line, number = row[take], line[take], number[take]
+            key = batch.column(1).to_numpy(zero_copy_only=False)
+
+            def wanted(row: np.ndarray, line: np.ndarray, key: np.ndarray = key) -> np.ndarray:
+                k, bit = _cell(key[row], line, size)
+                return kept.value[k] & bit != 0
+
+            # Other lines are not even cut into words.
+            row, line, number = split(batch.column(0), **({"wanted": wanted} if kept is not None else {}))
             sets = tk.Sets(row, line, number, classes.value)
             node, which = np.unique(sets.node(), return_index=True)
             sketch = sets.sketch(which)

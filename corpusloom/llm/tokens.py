@@ -9,6 +9,7 @@ rarity, ties by hash, in one integer that is the same wherever the word stands.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -26,8 +27,6 @@ SKETCH = 4
 
 _VALUE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _VALUE[65:91] = _VALUE[97:123]
-_BLACK = np.ones(256, bool)
-_BLACK[[9, 10, 11, 12, 13, 32]] = False
 
 
 @cache
@@ -61,7 +60,8 @@ def words(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first byte, number) of each word; no word goes on from one row to the next."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    black = np.take(_BLACK, data)
+    # All but 9 to 13 and 32; bytes below 9 wrap round.
+    black = (data - np.uint8(9) > 4) & (data != 32)
     begins, ends = black.copy(), black.copy()
     begins[1:] &= ~black[:-1]
     ends[:-1] &= ~black[1:]
@@ -69,32 +69,68 @@ def words(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     begins[inner], ends[inner - 1] = black[inner], black[inner - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     out, k = np.empty(len(start), np.uint64), 0
+    # One value and one running sum for all blocks.
+    values, sums = np.empty(BLOCK, np.uint64), np.zeros(BLOCK + 1, np.uint64)
     while k < len(start):
         until = max(k + 1, int(np.searchsorted(end, start[k] + BLOCK, "right")))
         base, n = start[k], int(end[until - 1] - start[k])
         # Kept for blocks; a longer word's own are dropped with it.
         p, q = _powers(BLOCK) if n <= BLOCK else _powers.__wrapped__(n)
-        running = np.zeros(n + 1, np.uint64)
-        np.cumsum(np.take(_VALUE, data[base : base + n]) * p[:n], out=running[1:])
+        value, running = (values[:n], sums[: n + 1]) if n <= BLOCK else (np.empty(n, np.uint64), np.zeros(n + 1, np.uint64))
+        np.take(_VALUE, data[base : base + n], out=value, mode="clip")
+        value *= p[:n]
+        np.cumsum(value, out=running[1:])
         s, e = start[k:until] - base, end[k:until] - base
         out[k:until] = (running[e] - running[s]) * q[s]
         k = until
     return start, mix(out)
 
 
-def lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, line in the row, number) of each word."""
-    data, rows = text_bytes(texts)
-    start, number = words(data, rows)
-    breaks = np.flatnonzero(data == 10)
-    row = np.searchsorted(rows, start, "right") - 1
-    return row, np.searchsorted(breaks, start) - np.searchsorted(breaks, rows[:-1])[row], number
+#: Says of (row, line) which lines are to be cut into words.
+Wanted = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _parts(data: np.ndarray, begin: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """data is cut at the places ``begin``; the parts to take end to end, and where each begins."""
+    n = np.diff(np.r_[begin, len(data)])
+    return data[np.repeat(take, n)], np.r_[0, np.cumsum(n[take])]
 
 
-def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _of(start: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Index of the range each start lies in; ranges begin at ``begin`` and the last ends at its end."""
+    return np.repeat(np.arange(len(begin) - 1), np.diff(np.searchsorted(start, begin)))
+
+
+def lines(texts: pa.Array, wanted: Wanted | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, line in the row, number) of each word; of the wanted lines, if that is given."""
+    data, rows = text_bytes(texts)
+    breaks = np.flatnonzero(data == 10)
+    before = np.searchsorted(breaks, rows)
+    if wanted is None:
+        start, number = words(data, rows)
+        row = _of(start, rows)
+        return row, _of(start, np.r_[0, breaks, len(data)]) - before[row], number
+    n = np.diff(before) + 1
+    first = np.cumsum(n) - n
+    row = np.repeat(np.arange(len(n)), n)
+    line = np.arange(len(row)) - first[row]
+    begin = np.empty(len(row), np.int64)
+    begin[line == 0], begin[line > 0] = rows[:-1], breaks + 1
+    take = wanted(row, line)
+    data, at = _parts(data, begin, take)
+    start, number = words(data, at)
+    which = np.flatnonzero(take)[_of(start, at)]
+    return row[which], line[which], number
+
+
+def shingles(texts: pa.Array, size: int, wanted: Wanted | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, 0, number) of each run of ``size`` words of a row. A row of fewer words is one run,
-    and a row without words the run of nothing."""
+    and a row without words the run of nothing. Only of the wanted rows, if that is given."""
     data, rows = text_bytes(texts)
+    take = np.arange(len(texts))
+    if wanted is not None:
+        only = wanted(take, np.zeros(len(take), np.int64))
+        take, (data, rows) = take[only], _parts(data, rows[:-1], only)
     start, number = words(data, rows)
     n = np.diff(np.searchsorted(start, rows))
     first = np.cumsum(n) - n
@@ -105,7 +141,7 @@ def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.nda
     for k in range(size):
         there = k < n[row]
         out[there] = mix(out[there] * np.uint64(BASE) + number[at[there] + k])
-    return row, np.zeros(len(row), np.int64), out
+    return take[row], np.zeros(len(row), np.int64), out
 
 
 def cell(number: np.ndarray) -> np.ndarray:

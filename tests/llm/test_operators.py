@@ -1,6 +1,7 @@
 """Operators for training-data pipelines against brute force, and on odd inputs."""
 
 import collections
+import functools
 import math
 import random
 import re
@@ -579,6 +580,19 @@ def test_words_of_batches():
     assert all(len(v) == 1 for v in names.values()) and len(set.union(*names.values())) == len(names)
 
 
+def test_words_of_wanted_lines_only(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array(["skip", "Ab c\nab  D\n", None, "", "x y\n\n z", "\n\n", "é É\tab", "a b c d"]).slice(1)
+    pick, cut, words = lambda row, line: (row + line) % 2 == 0, [], tokens.words
+    monkeypatch.setattr(tokens, "words", lambda data, rows: cut.append(bytes(data)) or words(data, rows))
+    for split in (tokens.lines, functools.partial(tokens.shingles, size=2)):
+        every, some = split(texts), split(texts, wanted=pick)
+        keep = pick(every[0], every[1])
+        assert all(np.array_equal(x[keep], y) for x, y in zip(every, some)) and 0 < len(some[0]) < len(every[0])
+        assert len(cut[-1]) < len(cut[-2])  # other lines are not read
+
+
 def test_op10_recall(spark):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(20, 32))
