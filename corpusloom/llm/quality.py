@@ -59,11 +59,13 @@ def frequent_lines(docs: DataFrame, text: str, host: str, limits: Limits) -> Dat
     held = base.select("host", "content", F.explode(F.array_distinct(F.concat(_hashed_lines(F.col("body")), F.array(F.lit(0).cast("long"))))).alias("line"))
     # Line 0 is in every document: its count is the number of documents of the host.
     counts = held.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"))
-    # A line within the limit for any host can be dropped before hosts are compared.
-    counts = materialize(counts.where((F.col("docs") > limits.docs) | (F.col("line") == 0)), "line-counts")
+    # A line within the limit for any host can be dropped before hosts are compared. The few rows left of
+    # each task are put together: a file for each task would cost its writer more than the rows do.
+    files = docs.sparkSession.sparkContext.defaultParallelism
+    counts = materialize(counts.where((F.col("docs") > limits.docs) | (F.col("line") == 0)).repartition(files), "line-counts")
     total = counts.where("line = 0").select("host", F.col("docs").alias("of"))
     above = counts.where("line <> 0").join(total, "host").where(F.col("docs") > F.greatest(F.lit(float(limits.docs)), F.col("of") * limits.share))
-    return materialize(above.groupBy("host").agg(F.collect_set("line").alias("hashes")), "frequent-lines")
+    return materialize(above.groupBy("host").agg(F.collect_set("line").alias("hashes")).repartition(files), "frequent-lines")
 
 
 def _base(row: DataFrame) -> DataFrame:

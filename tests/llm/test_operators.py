@@ -121,6 +121,23 @@ def test_op1_copies_count_once_or_each(spark):
     assert quality.judge(df, limits=quality.Limits(each_copy=True)).where("lost_words > 0").count() == 12
 
 
+def test_op1_writes_few_files_for_many_partitions(spark, monkeypatch):
+    rows = [(i, "\n".join([f"own line of {chr(97 + i % 26)} {chr(97 + i // 26)}", *(f"{w} common line" for w in "abcdefgh")]), f"s{i % 9}") for i in range(180)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    set_, files, write = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}, [], quality.materialize
+    was = {k: spark.conf.get(k) for k in set_}
+    monkeypatch.setattr(quality, "materialize", lambda d, name: [out := write(d, name), files.append(len(out.inputFiles()))][0])
+    try:
+        for k, v in set_.items():
+            spark.conf.set(k, v)
+        got = quality.frequent_lines(df, "text", "source", quality.Limits()).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert {r["host"]: len(r["hashes"]) for r in got} == {f"s{k}": 8 for k in range(9)}
+    assert len(files) == 2 and max(files) <= spark.sparkContext.defaultParallelism
+
+
 def test_op2_plain_spans_equal_regexes(texts):
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
