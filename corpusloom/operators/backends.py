@@ -30,21 +30,27 @@ def route_model(config: dict, pro: bool = False) -> str:
 
 
 def call(rows: DataFrame, prompt: str, backend: Backend, out: str = "reply", retries: int = 1, parallel: int | None = None, counter: Observation | None = None) -> DataFrame:
-    """Adds the replies; a batch that fails after its retries gives null replies. Other columns pass
-    through Arrow as they are. ``counter`` gets ``called`` and ``failed``, the rows with a prompt and
+    """Adds the replies; a batch that fails after its retries gives null replies. A row without a prompt
+    isn't sent and has none. Other columns pass through Arrow as they are. ``counter`` gets ``called`` and ``failed``, the rows with a prompt and
     those of them without a reply, once an action has run."""
     rows = rows.repartition(parallel) if parallel else rows
     wanted = rows.withColumn(out, F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            replies: list[str | None] = [None] * batch.num_rows
-            for _ in range(retries + 1):
+            asked = batch.column(prompt)
+            sent = asked.drop_null().to_pylist()
+            answers: list[str | None] = [None] * len(sent)
+            for _ in range(retries + 1 if sent else 0):
                 try:
-                    replies = backend(batch.column(prompt).to_pylist())
+                    answers = backend(sent)
                     break
                 except Exception:  # noqa: BLE001  a model's failure costs its batch only
                     continue
+            if len(answers) != len(sent):
+                raise ValueError(f"{len(answers)} replies to {len(sent)} prompts")
+            left = iter(answers)
+            replies = [next(left) if has else None for has in asked.is_valid().to_pylist()]
             kept = [c for c in batch.schema.names if c != out]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(replies, pa.string())], [*kept, out])
 
@@ -121,13 +127,17 @@ def read_questions(reply: Column) -> Column:
     return F.filter(F.coalesce(salvage_json(reply, "array<string>"), F.array().cast("array<string>")), lambda q: F.trim(q) != "")
 
 
+def standardize_text(department: Column, topic: Column, course_id: Column, course_name: Column, raw: Column) -> Column:
+    """The text that asks for a standard document, whether or not fields are empty; null if one is null."""
+    return F.concat(F.lit("Rewrite the notes below as a knowledge document with frontmatter.\nDepartment: "), department, F.lit("\nTopic: "), topic, F.lit("\nCourse: "), course_id, F.lit(" "), course_name, F.lit("\n\n"), raw)
+
+
 def standardize_prompt(department: Column, topic: Column, course_id: Column, course_name: Column, raw: Column) -> Column:
     """Prompt that asks for a standard document; null if one of the fields is missing."""
-    ask = F.concat(F.lit("Rewrite the notes below as a knowledge document with frontmatter.\nDepartment: "), department, F.lit("\nTopic: "), topic, F.lit("\nCourse: "), course_id, F.lit(" "), course_name, F.lit("\n\n"), raw)
     missing = F.lit(False)
     for c in (department, topic, course_id, course_name, raw):
         missing = missing | (F.coalesce(c, F.lit("")) == "")
-    return F.when(~missing, ask)
+    return F.when(~missing, standardize_text(department, topic, course_id, course_name, raw))
 
 
 def standardized(reply: Column) -> Column:
