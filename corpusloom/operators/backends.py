@@ -76,11 +76,16 @@ def render_batches(rows: DataFrame, batch: str = "batch_no", order: str = "origi
     return rows.groupBy(batch).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n\n").alias("prompt"), F.count(F.lit(1)).alias("pairs"))
 
 
+def fix_lines(fixes: Column) -> Column:
+    """The numbered list of a document's array of fixes, by ord."""
+    line = lambda z: F.concat_ws(" ", F.concat(F.lit("["), z["type"], F.lit("]")), z["location"], F.concat(F.lit("("), z["current_tokens"].cast("string"), F.lit(" tokens):")), z["message"])
+    parts = F.sort_array(F.transform(fixes, lambda z: F.struct(z["ord"].alias("ord"), line(z).alias("l"))))
+    return F.array_join(F.transform(parts, lambda x, k: F.concat((k + 1).cast("string"), F.lit(". "), x["l"])), "\n")
+
+
 def render_fixes(fixes: DataFrame, keys: tuple[str, ...] = ("doc_index",)) -> DataFrame:
     """The numbered list of fixes of each document."""
-    line = F.concat_ws(" ", F.concat(F.lit("["), F.col("type"), F.lit("]")), "location", F.concat(F.lit("("), F.col("current_tokens").cast("string"), F.lit(" tokens):")), "message")
-    parts = F.sort_array(F.collect_list(F.struct("ord", line.alias("l"))))
-    return fixes.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x, k: F.concat((k + 1).cast("string"), F.lit(". "), x["l"])), "\n").alias("fix_list"))
+    return fixes.groupBy(*keys).agg(fix_lines(F.collect_list(F.struct("ord", "type", "location", "current_tokens", "message"))).alias("fix_list"))
 
 
 def read_verdicts(replies: DataFrame, reply: str = "reply") -> DataFrame:
